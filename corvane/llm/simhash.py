@@ -26,6 +26,8 @@ SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = np.arange(8, dtype=np.int64) * 256
+#: Row keys up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Shingles of which the hashes are held at once.
 _CHUNK = 1 << 20
 
@@ -97,19 +99,45 @@ def link(fingerprints: DataFrame) -> DataFrame:
     return links.join(components, "node").select(F.col("node").alias("fp"), "links", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of `docs`: id, fingerprint (16 hex digits), n_near, component_id, and the columns named in `keep`.
+def _grouped(own: DataFrame) -> DataFrame:
+    """(fp, n_near, component, component_id) of rows (doc_id, fp)."""
+    distinct = own.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    linked = link(distinct)
+    classes = distinct.join(linked, "fp", "left").select("fp", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fp").alias("component"))
+    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    return classes.join(smallest, "component").select("fp", (F.col("n") - 1 + F.col("links")).alias("n_near"), "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), n_near and component_id.
 
     n_near counts the other rows at four or fewer differing bits, component_id is the smallest id reachable over such
     links. Null and wordless texts have fingerprint zero and are linked like any other; rows with equal ids are
     rows of their own; a null id is passed over as smallest id (a component of null ids alone has component_id null);
     an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    own = cut(docs.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col)).alias("fp"), *[F.expr(k) for k in keep]))
-    distinct = own.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    linked = link(distinct)
-    classes = distinct.join(linked, "fp", "left").select("fp", "n", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "fp").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "component").select("fp", (F.col("n") - 1 + F.col("links")).alias("n_near"), "component_id")
-    rest = [c for c in own.columns if c not in ("doc_id", "fp")]
-    return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id", *rest)
+    own = cut(docs.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col)).alias("fp")))
+    return own.join(_grouped(own), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays, unchanged: that of the smallest id (null last), among equal ids that of the smallest text hash.
+
+    Of rows equal in id and text any one stays. An empty table gives an empty result.
+    """
+    own = cut(docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), simhash64(F.col(text_col)).alias("fp")))
+    of = own.join(_grouped(own.withColumnRenamed("i", "doc_id")).select("fp", "component"), "fp")
+    key = F.struct(F.col("i").isNull().alias("none"), "i", "h")
+    best = of.groupBy("component").agg(F.min(key).alias("best"), F.count("*").alias("n")).where("n > 1")
+    held = cut(of.select("component", key.alias("k")).groupBy("component", "k").agg(F.count("*").alias("times")).join(best.select("component", "best"), "component").select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h"), (F.col("k") == F.col("best")).alias("stays"), "times"))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select("__i", "__h")
+        few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return rows.join(F.broadcast(keys) if few else keys, rows[id_col].eqNullSafe(keys["__i"]) & (F.xxhash64(rows[text_col]) == keys["__h"]), how)
+
+    out = among(docs, held.where("not stays"), "left_anti")
+    twice = held.where("stays and times > 1")
+    if twice.isEmpty():
+        return out
+    return among(out, twice, "left_anti").unionByName(among(out, twice, "left_semi").dropDuplicates([id_col, text_col]))
