@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Distinct pre-tokens and token pairs that a worker remembers; beyond, it forgets them all and goes on. Results don't depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +37,9 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self.text = {r: str(r) for r in self.tokens}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._ends: ahocorasick.Automaton | None = None
+        self._lengths = {r: len(t) for t, r in ranks.items()}
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None of a byte, and of a token that merges never make."""
@@ -56,14 +59,14 @@ class PrefixBPE:
         return len(self.tokens[token]) == 1 or self.parts(token) is not None
 
     def beside(self, a: int, b: int) -> bool:
-        """Whether a then b is the encoding of their joint bytes: undo merges, the latest first, and see that none across the border came before."""
-        known = self._pairs.get((a, b))
+        """Whether a then b is the encoding of their joint bytes, b being one that merges make: undo merges, the latest first, and see that none across the border came before."""
+        known = self._pairs.get((a << 32) | b)
         if known is not None:
             return known
-        if len(self._pairs) > 4 * REMEMBERED:
+        if len(self._pairs) > REMEMBERED:
             self._pairs.clear()
-        x, y, limit, fine = a, b, 1 << 40, True
-        while True:
+        x, y, limit, fine = a, b, 1 << 40, self.made(b)
+        while fine:
             if self.ranks.get(self.tokens[x] + self.tokens[y], limit) < limit:
                 fine = False
                 break
@@ -74,7 +77,7 @@ class PrefixBPE:
                 x, limit = left[1], x  # of equal ranks the left pair merges first, so only a lower rank forbids
             else:
                 y, limit = right[0], y + 1
-        self._pairs[a, b] = fine
+        self._pairs[(a << 32) | b] = fine
         return fine
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
@@ -83,7 +86,7 @@ class PrefixBPE:
         for i in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
             for start in range(max(0, i - longest), i):
                 t = get(data[start:i])
-                if t is not None and (beside(last[start - 1], t) and self.made(t) if start else self.made(t)):
+                if t is not None and (beside(last[start - 1], t) if start else self.made(t)):
                     last.append(t)
                     break
             else:
@@ -94,12 +97,37 @@ class PrefixBPE:
         out, i = [], len(data)
         while i:
             out.append(last[i - 1])
-            i -= len(self.tokens[out[-1]])
+            i -= self._lengths[out[-1]]
         return out[::-1]
 
+    def prefixes(self, data: bytes) -> list[int]:
+        """What `extend` gives from nothing, with the tokens that end at each byte found by an automaton in one pass."""
+        if self._ends is None:
+            self._ends = ahocorasick.Automaton()
+            for token, r in self.ranks.items():
+                self._ends.add_word(token.decode("latin-1"), r)
+            self._ends.make_automaton()
+        last, known, lengths, i = [], self._pairs.get, self._lengths, 0
+        for end, t in self._ends.iter(data.decode("latin-1")):
+            if end < i:
+                continue
+            at = end - lengths[t]
+            if at >= 0:
+                fine = known((last[at] << 32) | t)
+                if fine is None:
+                    fine = self.beside(last[at], t)
+            else:
+                fine = self.made(t)
+            if fine:
+                last.append(t)
+                i += 1
+        if i < len(data):
+            raise ValueError(f"no token for byte {data[i]}")
+        return last
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.ids(piece, self.extend(piece, []))
+        return [whole] if whole is not None else self.ids(piece, self.prefixes(piece))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
