@@ -103,8 +103,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         named = [r.source for r in own.where("source is not null").groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_CLASSES).collect()]
     known = F.col("source").isin(named) if named else F.lit(False)
     own = own.withColumn("class", F.when(known, F.col("source")).otherwise(F.lit(_OTHERS)))
-    # how many rows of each class have each leading hash bits: at most (classes x 4096) rows, summed before they are shuffled
-    piece = F.shiftrightunsigned("h", 52)
+    # how many rows of each class have each leading hash bits: at most (classes x 1024) rows, summed before they are shuffled
+    piece = F.shiftrightunsigned("h", 54)
     sizes = {(r["class"], r["piece"]): r["count"] for r in own.groupBy("class", piece.alias("piece")).count().collect()}
     totals: dict[str, int] = {}
     for (c, _), n in sizes.items():
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         before.append((c, p, run[c]))
         run[c] += sizes[c, p]
     offsets = spark.createDataFrame(before, "class string, piece long, before long")
-    # offsets: at most 101 classes x 4096 pieces; schedule: at most 101 phases x max(QUANTA, classes) slots
+    # offsets: at most 101 classes x 1024 pieces; schedule: at most 101 phases x max(QUANTA, classes) slots
     ranked = own.withColumn("piece", piece).join(F.broadcast(offsets), ["class", "piece"])
     rank = F.expr("row_number() over (partition by class, piece order by h, doc_id)") - 1 + F.col("before")
     ranked = ranked.withColumn("rank", rank).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", (F.col("rank") % block_docs).cast("int"))
