@@ -14,14 +14,15 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Distinct pre-tokens and token pairs that a worker remembers; beyond, it forgets them all and goes on. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,26 +194,63 @@ def encoder(path: str, pattern: str) -> TextEncoder:
     return _ENCODERS[path, pattern]
 
 
+def slices(texts: pa.Array, rows: int = 512) -> Iterator[list[str | None]]:
+    """A batch's texts in turn, so that few of them stand in memory twice."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+
+
+def ids_of(e: TextEncoder, texts: pa.Array) -> pa.ListArray:
+    parts, counts = [], []
+    for own in slices(texts):
+        ids = [e.encode(t) for t in own]
+        counts += map(len, ids)
+        parts.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with a column of token ids. Null and empty texts have no ids; all columns of `docs` stay but one named `ids_col`."""
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path, pattern)
         for s in texts:
-            yield pd.Series([e.encode(t) for t in s], index=s.index, dtype=object)
+            yield ids_of(e, s)
 
     return docs.withColumn(ids_col, of(F.col(text_col)))
 
 
+CHECKED = StructType([StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip") -> DataFrame:
+    """`encode`, and whether the ids decode to the text's bytes, in one pass."""
+
+    @F.arrow_udf(CHECKED)
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = encoder(path, pattern)
+        for s in texts:
+            ids = ids_of(e, s)
+            flat, ends, fine, k = ids.values.to_numpy(), ids.offsets.to_numpy(), [], 0
+            for own in slices(s):
+                for t in own:
+                    fine.append(e.bpe.decode(flat[ends[k] : ends[k + 1]].tolist()) == (t or "").encode())
+                    k += 1
+            yield pa.StructArray.from_arrays([ids, pa.array(fine, pa.bool_())], names=CHECKED.names)
+
+    x = "__encoded"
+    return docs.withColumn(x, of(F.col(text_col))).withColumns({ids_col: F.col(x)["ids"], check_col: F.col(x)["round_trip"]}).drop(x)
+
+
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """`encoded` with the text of its ids; bytes that aren't UTF-8 are replaced, null ids give null."""
 
-    @F.pandas_udf(StringType())
-    def of(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def of(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         b = encoder(path, pattern).bpe
         for s in ids:
-            yield pd.Series([None if x is None else b.decode(list(x)).decode("utf-8", "replace") for x in s], index=s.index, dtype=object)
+            yield pa.array([None if x is None else b.decode(x).decode("utf-8", "replace") for own in slices(s) for x in own], pa.string())
 
     return encoded.withColumn(text_col, of(F.col(ids_col)))
 
@@ -227,15 +265,18 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     string; null and repeated ids are rows of their own; other columns are ignored.
     """
 
-    @F.pandas_udf(DIGEST)
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(DIGEST)
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(path, pattern)
         sha = hashlib.sha256
         for s in texts:
-            rows = []
-            for t in s:
-                ids = e.encode(t)
-                rows.append((len(ids), sha(" ".join(map(e.bpe.text.__getitem__, ids)).encode()).hexdigest(), sha(e.bpe.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=DIGEST.names, index=s.index)
+            n, ids_sha, decoded_sha = [], [], []
+            for own in slices(s):
+                for t in own:
+                    ids = e.encode(t)
+                    n.append(len(ids))
+                    ids_sha.append(sha(" ".join(map(e.bpe.text.__getitem__, ids)).encode()).hexdigest())
+                    decoded_sha.append(sha(e.bpe.decode(ids)).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=DIGEST.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("x")).select("doc_id", "x.*")

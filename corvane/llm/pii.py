@@ -41,7 +41,7 @@ _ANY_WORD = re.compile(r"[^\W_]{3,}")
 #: Words on either side of a value that are held against it, and how far they are looked for.
 WINDOW_WORDS, WINDOW_CHARS = 5, 160
 #: Distinct words that a task counts before it sends the counts on.
-_COUNTED = 400_000
+_COUNTED = 200_000
 #: Rows of added spans up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -134,12 +134,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         base, near = [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base.append(base_spans(text))
-            near.append(surroundings(text, base[-1]) if base[-1] else [])
-            for w in set(_ANY_WORD.findall(text.lower())):
-                count[w] = count.get(w, 0) + 1
+        for at in range(0, batch.num_rows, 512):  # few texts stand in memory twice
+            for text in batch.column("text").slice(at, 512).to_pylist():
+                text = text or ""
+                base.append(base_spans(text))
+                near.append(surroundings(text, base[-1]) if base[-1] else [])
+                for w in set(_ANY_WORD.findall(text.lower())):
+                    count[w] = count.get(w, 0) + 1
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "around"), s)) for s in x] for x in near], _NEAR), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
