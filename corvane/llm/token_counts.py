@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from corvane.llm.bpe import read_ranks
 
 #: Nodes of a worker's trie; beyond, it is cut down to the root and grows again. Results don't depend on it.
-MOST_NODES = 1_500_000
+MOST_NODES = 1_200_000
 
 
 def scores_by_rank(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -28,67 +29,73 @@ def scores_by_rank(ranks: dict[bytes, int]) -> dict[bytes, float]:
     return {t: -math.log(r + 2.7) - norm for t, r in ranks.items()}
 
 
-class PieceTrie:
-    """Vocabulary pieces read backwards, so that all pieces ending at a byte are found on one path."""
-
-    def __init__(self, scores: dict[bytes, float]):
-        self.root: dict = {}
-        for piece, s in scores.items():
-            node = self.root
-            for b in reversed(piece):
-                node = node.setdefault(b, {})
-            node[-1] = s
-
-
 class ForwardTrie:
     """Pre-tokens with the forward scores of their prefixes.
 
-    A node is [score, tokens, children]: of the best segmentation of its prefix (the higher score; of equal scores the fewer tokens).
+    A node is [score, tokens, children or None]: of the best segmentation of its prefix (the higher score; of equal scores the fewer tokens).
     """
 
     def __init__(self, scores: dict[bytes, float]):
-        self.pieces = PieceTrie(scores).root
-        self.root: list = [0.0, 0, {}]
+        self.pieces = ahocorasick.Automaton()  # finds the pieces that end at each byte
+        for piece, s in scores.items():
+            self.pieces.add_word(piece.decode("latin-1"), (len(piece) - 1, s))
+        self.pieces.make_automaton()
+        self.root: list = [0.0, 0, None]
         self.nodes = 0
         self.computed = 0
 
     def count(self, word: bytes) -> tuple[int, float]:
         """Tokens and score of the best segmentation."""
         if self.nodes > MOST_NODES:
-            self.root, self.nodes = [0.0, 0, {}], 0
-        path, node = [self.root], self.root
-        for i, b in enumerate(word):
-            below = node[2].get(b)
-            if below is None:
-                best, fewest, at, j = -math.inf, 0, self.pieces, i
-                while j >= 0 and (at := at.get(word[j])) is not None:
-                    s = at.get(-1)
-                    if s is not None:
-                        before = path[j]
-                        s, n = before[0] + s, before[1] + 1
-                        if s > best or (s == best and n < fewest):
-                            best, fewest = s, n
-                    j -= 1
-                if best == -math.inf:
-                    raise ValueError(f"no piece ends at byte {b}")
-                below = node[2][b] = [best, fewest, {}]
-                self.nodes += 1
-                self.computed += 1
-            path.append(below)
-            node = below
-        return node[1], node[0]
+            self.root, self.nodes = [0.0, 0, None], 0
+        node, path = self.root, [self.root]
+        for b in word:
+            node = node[2].get(b) if node[2] else None
+            if node is None:
+                break
+            path.append(node)
+        shared = at = len(path) - 1
+        if shared < len(word):
+            best, fewest = -math.inf, 0
+            for end, (back, s) in self.pieces.iter(word.decode("latin-1")):
+                if end < shared:
+                    continue
+                if end > at:
+                    self._grow(path, word, at, best, fewest)
+                    at, best = end, -math.inf
+                before = path[end - back]
+                s += before[0]
+                if s > best or (s == best and before[1] + 1 < fewest):
+                    best, fewest = s, before[1] + 1
+            self._grow(path, word, at, best, fewest)
+            if len(path) <= len(word):
+                raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
+        return path[-1][1], path[-1][0]
+
+    def _grow(self, path: list, word: bytes, at: int, score: float, tokens: int) -> None:
+        if at != len(path) - 1 or score == -math.inf:
+            raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
+        node = [score, tokens, None]
+        parent = path[at]
+        if parent[2] is None:
+            parent[2] = {word[at]: node}
+        else:
+            parent[2][word[at]] = node
+        path.append(node)
+        self.nodes += 1
+        self.computed += 1
 
 
 class Counter(dict):
-    """Pre-token to (tokens, score): the terminal counts."""
+    """Pre-token to its terminal count and score, as one complex number so that a text's are summed in one go."""
 
     MOST = 400_000
 
     def __init__(self, path: str, pattern: str):
         self.trie, self.split = ForwardTrie(scores_by_rank(read_ranks(path))), regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple[int, float]:
-        found = self.trie.count(piece.encode())
+    def __missing__(self, piece: str) -> complex:
+        found = complex(*self.trie.count(piece.encode()))
         if len(self) < self.MOST:
             self[piece] = found
         return found
@@ -96,8 +103,9 @@ class Counter(dict):
     def of(self, text: str | None) -> tuple[int, int, float]:
         if len(self) >= self.MOST:
             self.clear()
-        found = list(map(self.__getitem__, self.split(text or "")))
-        return len(found), sum(n for n, _ in found), math.fsum(s for _, s in found)
+        pieces = self.split(text or "")
+        total = sum(map(self.__getitem__, pieces), 0j)
+        return len(pieces), int(total.real), total.imag
 
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
