@@ -43,7 +43,7 @@ def upsert_chunks(stored: DataFrame, new: DataFrame, order: str) -> DataFrame:
     paths = stored.select("chunk_key", F.col("file_path").alias("__path"))
     fresh = fresh.join(paths, "chunk_key", "left").withColumn("file_path", F.coalesce("__path", "file_path")).drop("__path")
     fresh = fresh.withColumn("embedding", F.lit(None).cast(stored.schema["embedding"].dataType)).withColumn("embedding_model", F.lit(""))
-    return stored.join(fresh.select("chunk_key"), "chunk_key", "left_anti").unionByName(fresh.select(*stored.columns))
+    return stored.join(fresh.select("chunk_key"), "chunk_key", "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))
 
 
 def write_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
