@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,21 @@ DIM = 384
 HASHING_MODEL = "hashing-384"
 
 
+@lru_cache(100_000)
+def _places(term: str) -> tuple[np.ndarray, np.ndarray]:
+    """Components and signed weights of a term: its own and those of its trigrams."""
+    grams = [term, *(f"^{term}$"[k : k + 3] for k in range(len(term)))]
+    h = np.array([zlib.crc32(g.encode()) for g in grams], np.int64)
+    return h % DIM, np.where(h >> 31, 1.0, -1.0) * np.array([2.0] + [0.5] * (len(grams) - 1))
+
+
 def hashing_embedder(texts: list[str]) -> list[list[float]]:
     """Signed feature hashing of words and their character trigrams, of unit length; the same on every worker and in every run."""
     out = np.zeros((len(texts), DIM))
     for i, text in enumerate(texts):
-        for term in query_terms(text):
-            for gram in (term, *(f"^{term}$"[k : k + 3] for k in range(len(term)))):
-                h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-                out[i, h % DIM] += (1 if h >> 63 else -1) * (2.0 if gram == term else 0.5)
+        found = [_places(t) for t in query_terms(text)]
+        if found:
+            np.add.at(out[i], np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found]))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).tolist()
 

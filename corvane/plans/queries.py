@@ -5,6 +5,7 @@ Documents stand for code: a source is a codebase, a document a file of one chunk
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -12,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane import embed
+from corvane.chunk.chunker import chunk_files
 from corvane.functions import languages as lang
 from corvane.functions import text as tx
 from corvane.functions import vectors as vec
 from corvane.operators import catalogue, evaluation, maintenance, search
-from corvane.session import table
+from corvane.session import checkpoint_folder, cut, table
+from corvane.sources.tree import scan
+from corvane.streaming.upserts import LatestTable, keep_latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,11 +37,11 @@ def register(sql: str | None = None):
     return add
 
 
-def chunks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks_view(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     first = F.element_at(F.split("text", "\n"), 1)
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
     lines = F.size(F.split("text", "\n"))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy).select(
         F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("codebase_id"), path.alias("file_path"), F.concat(path, F.lit(":1:"), lines.cast("string")).alias("chunk_key"), F.col("lang").alias("language"), F.lit("document").alias("kind"),
         first.alias("name"), F.col("text").alias("signature"), F.col("text").alias("snippet"), F.lit(1).alias("start_line"), lines.alias("end_line"), F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"), "doc_id", "source", "n_chars",
     )
@@ -121,7 +126,7 @@ def _keywords_sql(column: str) -> str:
 
 @register(f"select doc_id, {_keywords_sql('text')} as keywords from documents")
 def F1_extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.keywords(F.col("text")).alias("keywords"))
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", tx.keywords(F.col("text")).alias("keywords"))
 
 
 @register(f"select conv_id, turn, {_keywords_sql('text')} as keywords from conversations where role = 'user'")
@@ -147,19 +152,19 @@ _BM25 = f"""tokens as (select codebase_id, chunk_key, doc_id, field, w, regexp_e
 
 @register(f"with {CHUNKS_SQL}, {_BM25} select codebase_id, chunk_key, round(score, 6) as score from scored")
 def A5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_scores(chunks_view(spark, sf_dir), TERMS).select("codebase_id", "chunk_key", r6("score").alias("score"))
+    return search.keyword_scores(chunks_view(spark, sf_dir, heavy=True), TERMS).select("codebase_id", "chunk_key", r6("score").alias("score"))
 
 
 @register(f"""with {CHUNKS_SQL}, {_BM25}, best as (select *, row_number() over (partition by codebase_id order by score desc, chunk_key) as r from scored)
  select codebase_id, chunk_key, round(score, 6) as score from best where r <= 3 order by score desc, codebase_id, chunk_key limit 3""")
 def K2_bm25_per_codebase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_topk(chunks_view(spark, sf_dir), TERMS, 3).select("codebase_id", "chunk_key", r6("score").alias("score"))
+    return search.keyword_topk(chunks_view(spark, sf_dir, heavy=True), TERMS, 3).select("codebase_id", "chunk_key", r6("score").alias("score"))
 
 
 @register(f"""with {CHUNKS_SQL}, {_BM25}, best as (select *, row_number() over (partition by codebase_id order by score desc, chunk_key) as r from scored), top as (select * from best where r <= 5 order by score desc, codebase_id, chunk_key limit 5)
  select t.chunk_key, file_path, name, kind, snippet, start_line, end_line, round(score, 6) as score from top t join chunks_v using (codebase_id, chunk_key)""")
 def J4_late_materialised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks_view(spark, sf_dir)
+    c = chunks_view(spark, sf_dir, heavy=True)
     hits = search.with_chunks(search.keyword_topk(c, TERMS, 5), c, True, ("codebase_id", "chunk_key"))
     return hits.select("chunk_key", "file_path", "name", "kind", "snippet", "start_line", "end_line", r6("score").alias("score"))
 
@@ -174,9 +179,9 @@ def J4_late_materialised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
  ranked as (select *, row_number() over (partition by query_id order by round(score, 6) desc, codebase_id, chunk_key)::int as rank from scored)
  select query_id, rank, round(score, 6) as score from ranked where rank <= 5""")
 def A5_bulk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks_view(spark, sf_dir)
+    c = chunks_view(spark, sf_dir, heavy=True)
     q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.keyword_topk_bulk(search.postings(c), c, q, 5).select("query_id", F.col("rank"), r6("score").alias("score"))
+    return search.keyword_topk_bulk(cut(search.postings(c)), c, q, 5).select("query_id", F.col("rank"), r6("score").alias("score"))
 
 
 @register(f"""with {CHUNKS_SQL}, a as (select chunk_key, row_number() over (order by n_chars desc, doc_id) as rank from chunks_v qualify rank <= 50), b as (select chunk_key, row_number() over (order by n_chars desc, doc_id desc) as rank from chunks_v where n_chars < (select quantile_disc(n_chars, 0.99) from chunks_v) qualify rank <= 50)
@@ -442,4 +447,46 @@ def A8_chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_view(spark, sf_dir).groupBy("codebase_id").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.max("end_line").alias("longest"))
 
 
+@register(f"""with {CHUNKS_SQL} select codebase_id, chunk_key, field, term, count(*) as tf, dl::bigint as dl from (select codebase_id, chunk_key, field, len(t) as dl, unnest(t) as term
+ from (select codebase_id, chunk_key, field, regexp_extract_all(lower(body), '[a-z0-9]+') as t from chunks_v, lateral (values ('name', name), ('signature', signature)) as f(field, body))) group by all""")
+def W9_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(chunks_view(spark, sf_dir, heavy=True))
+
+
+@register("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def W4_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}".removeprefix("file:")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(*events.columns)
+    latest = LatestTable(f"{folder}/table", ("user_id",), "event_id")
+    keep_latest(stream, latest, f"{folder}/checkpoint").awaitTermination()
+    return latest.read(events)
+
+
+#: Source files of our own, for the operators that need a directory tree.
 FIXTURES = str(Path(__file__).resolve().parents[2] / "tests" / "fixtures" / "tree")
+
+
+@register(f"""with l(ext, language) as (values {_LANG_VALUES}) select replace(filename, '{FIXTURES}/', '') as rel_path, language, sha256(content) as hash from read_text('{FIXTURES}/**')
+ join l on ext = regexp_extract(filename, '(\\.[^.]*)$', 1) where size between 1 and 1000000""")
+def S1_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, FIXTURES).where("error is null").select("rel_path", "language", "hash")
+
+
+@register()
+def C1_chunk_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunk_files(scan(spark, FIXTURES).where("error is null")).where("ok is null and error is null")
+    return chunks.select(F.expr("replace(chunk_key, %r, '')" % (FIXTURES + "/")).alias("chunk_key"), "language", "kind", "name", "signature", "start_line", "end_line")
+
+
+@register()
+def U2_hashing_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks_view(spark, sf_dir, heavy=True)
+    text = tx.embed_text(*map(F.col, ("file_path", "kind", "name", "signature", "snippet")))
+    return c.select("doc_id", embed.embedding(embed.hashing_embedder, text).alias("embedding"))
+
+
+@register("""with l as (select source, count(*) as n, sum(n_chars)::bigint as chars from documents group by source) select source, n, chars, rank() over (order by n desc, source)::int as place from l""")
+def A1_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+    return totals.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), F.col("source"))))  # one row a source

@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table of the driver. heavy: for work that takes long a row; files too few for all cores are then dealt out over them.
+
+    Where there are at least as many splits as cores, as in any large table, nothing is shuffled.
+    """
     workers_can_import(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df
