@@ -15,15 +15,15 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", heavy=True))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_wrapper.main_text(table(spark, sf_dir, "pages"))
+    return html_wrapper.main_text(table(spark, sf_dir, "pages", heavy=True))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return token_counts.count(table(spark, sf_dir, "documents", heavy=True), RANKS, public_tokenizers.PATTERN)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents", heavy=True))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings", heavy=True))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +43,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents", heavy=True), RANKS, public_tokenizers.PATTERN)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return ann.nearest(table(spark, sf_dir, "embeddings", heavy=True), F.col("vec_id") % 50 == 0)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents", heavy=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_token_counts, op4_mixing, op5_language_id, op6_embedding_dedup, op7_url_filter, op8_bpe, op9_nearest, op10_pii)}
