@@ -6,8 +6,8 @@ pointwise mutual information of word and value against the information content o
 
     PMI(c; t) = log(N n(c,t) / (n(c) n(t)))        IC(c) = log(N / n(c))
 
-in numbers of documents, over all documents. A word that gives away at least `threshold` of IC(c), in at least `support`
-different surroundings (so that copies of one passage don't count as evidence), is disclosed: from `removal` on it
+in numbers of documents, over all documents. A word that gives away at least `threshold` of IC(c), with at least `support`
+different words before it and as many behind (so that copies of one passage, edited or not, don't count as evidence), is disclosed: from `removal` on it
 is removed, below that it is generalised to its class. Its span is added wherever it stands near that value.
 """
 
@@ -101,8 +101,8 @@ def _signed(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(value, word, start, end, surrounding) of the words near each base span that lie in none."""
+def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(value, word, start, end, word before, word behind) of the words near each base span that lie in none."""
     out = []
     for start, kind, end in spans:
         before = list(_WORD.finditer(text, max(0, start - WINDOW_CHARS), start))[-WINDOW_WORDS:]
@@ -113,14 +113,14 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
         for i, m in enumerate(before + behind):
             k = i if i < len(before) else i + 1
             if not any(s < m.end() and m.start() < e for s, _, e in spans):
-                out.append((value, _signed(words[k]), m.start(), m.end(), _signed(f"{words[k - 1] if k else ''}|{words[k + 1] if k + 1 < len(words) else ''}")))
+                out.append((value, _signed(words[k]), m.start(), m.end(), _signed(words[k - 1] if k else ""), _signed(words[k + 1] if k + 1 < len(words) else "")))
     return out
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("value", pa.int64()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.int64())]))
+_NEAR = pa.list_(pa.struct([("value", pa.int64()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.int64()), ("behind", pa.int64())]))
 _SCANNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("base", _SPANS), ("near", _NEAR), ("word", pa.int64()), ("docs", pa.int64())])
-SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,word:long,start:int,end:int,around:long>>, word long, docs long"
+SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,word:long,start:int,end:int,before:long,behind:long>>, word long, docs long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     count[w] = count.get(w, 0) + 1
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "around"), s)) for s in x] for x in near], _NEAR), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+            [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "before", "behind"), s)) for s in x] for x in near], _NEAR), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
             schema=_SCANNED,
         )
         if len(count) >= _COUNTED:
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
 def added_spans(found: DataFrame, words: DataFrame, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
     """(doc_id, h, added): for each distinct document with disclosed terms their spans (start, kind, end) and whether each is removed."""
     near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    ties = near.groupBy("value", "word").agg(F.count_distinct("h").alias("both"), F.count_distinct("around").alias("around")).where(F.col("around") >= support)
+    ties = near.groupBy("value", "word").agg(F.count_distinct("h").alias("both"), F.count_distinct("before").alias("before"), F.count_distinct("behind").alias("behind")).where(F.least("before", "behind") >= support)
     values = near.select("value", "h").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     # few words get this far, so their own counts are summed after the others are dropped
     ties = cut(ties.join(values, "value"))

@@ -45,11 +45,12 @@ def brute(rows, threshold=0.8, removal=0.95, support=3):
     for (i, t), b in zip(rows, base):
         t = t or ""
         near.append([])
-        for value, word, s, e, around in pii.surroundings(t, b):
+        for value, word, s, e, before, behind in pii.surroundings(t, b):
             near[-1].append((value, t[s:e].lower(), s, e))
-            both, arounds = ties.setdefault((value, t[s:e].lower()), (set(), set()))
+            both, left, right = ties.setdefault((value, t[s:e].lower()), (set(), set(), set()))
             both.add(t)
-            arounds.add(around)
+            left.add(before)
+            right.add(behind)
     has = {}
     for t in texts:
         for w in set(re.findall(r"[^\W_]{3,}", t.lower())):
@@ -59,10 +60,10 @@ def brute(rows, threshold=0.8, removal=0.95, support=3):
         for v in {x[0] for x in own}:
             values.setdefault(v, set()).add(t)
     told = {}
-    for (v, w), (both, arounds) in ties.items():
+    for (v, w), (both, left, right) in ties.items():
         ic = np.log(len(rows) / len(values[v]))
         r = np.log(len(rows) * len(both) / (len(values[v]) * has[w])) / max(ic, 1e-9)
-        if len(arounds) >= support and ic > 0 and r >= threshold:
+        if min(len(left), len(right)) >= support and ic > 0 and r >= threshold:
             told[v, w] = r >= removal
     out = []
     for (i, t), b, own in zip(rows, base, near):
