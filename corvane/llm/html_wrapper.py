@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from html import unescape
 
 import pandas as pd
@@ -33,6 +34,8 @@ PORTION = 200
 BROADCAST_HOSTS = 20_000
 #: Elements nested deeper count as part of their ancestor at this depth; their text stays.
 DEEPEST = 48
+#: Entries of an alignment's table at most.
+_LARGE = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -47,9 +50,10 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 _CONTENT = {"article", "main"}
 _NOT_MAIN = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "head", "search"}
-_NOT_MAIN_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
-_NOT_MAIN_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav masthead topbar toolbar pagination pager widget teaser skip".split())
-_CONTENT_WORDS = {"articlebody", "maincontent"}
+_NOT_MAIN_ROLES = {f"role-{r}" for r in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist")}
+_NOT_MAIN_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav masthead topbar toolbar pagination pager widget".split())
+#: Reader comments and adverts are often articles too.
+_NOT_AN_ARTICLE = {"comment", "reply", "ad", "advert", "advertisement", "sponsored", "promo"}
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -188,6 +192,13 @@ def align(a: list, b: list) -> list:
 def _align(x: list[list], y: list[list]) -> list[list]:
     """Longest common subsequence of keys; the rest becomes optional."""
     n, m = len(x), len(y)
+    if n * m > _LARGE:  # longest matching blocks instead, which need no table
+        out, i, j = [], 0, 0
+        optional = lambda p: [p[0], p[1], True, p[3]]
+        for a, b, size in SequenceMatcher(None, [p[0] for p in x], [p[0] for p in y], autojunk=False).get_matching_blocks():
+            out += [optional(p) for p in x[i:a]] + [optional(p) for p in y[j:b]] + [align(p, q) for p, q in zip(x[a : a + size], y[b : b + size])]
+            i, j = a + size, b + size
+        return _collapse_same(out)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -254,12 +265,16 @@ def place(path: tuple[str, ...]) -> int:
     for key in path:
         parts = key.split("[")[0].split(".")
         tag, words = parts[0], set(parts[1:])
+        if words & {"has", "with", "no", "without"}:  # `has-sidebar` says something of what is beside
+            words = set()
         if tag in _CONTENT or words & {"role-main", "role-article"} or words >= {"article", "body"}:
+            if words & _NOT_AN_ARTICLE:
+                return -1
             inside = 1
             continue
         if tag in _NOT_MAIN or (tag == "header" and not inside):
             return -1
-        if words & {f"role-{r}" for r in _NOT_MAIN_ROLES} or (words & _NOT_MAIN_WORDS) or ("header" in words and not inside):
+        if words & _NOT_MAIN_ROLES or (words & _NOT_MAIN_WORDS) or ("header" in words and not inside):
             return -1
     return inside
 

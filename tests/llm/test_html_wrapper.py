@@ -75,3 +75,15 @@ def test_test_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(std.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_places():
+    def place(html):
+        (path, _, _), = h.texts(h.parse(html))
+        return h.place(path)
+
+    assert place("<div class='page has-sidebar'><main><div><p>x") == 1 == place("<article><header><h1>x") == place("<div role=main>x") == place("<div itemprop=articleBody>x")
+    for out in ("<section id=comments><article><p>x", "<article class='comment'>x", "<article><div class='share-buttons'>x", "<div class=pageHeader>x", "<div role=banner>x", "<div class='ad-slot'>x", "<main><form>x", "<article><nav>x", "<div id=cookieConsent><p>x"):
+        assert place(out) == -1, out
+    for either in ("<div><p>x", "<section class=story>x", "<div class='advanced address'>x"):
+        assert place(either) == 0, either
