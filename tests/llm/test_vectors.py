@@ -110,3 +110,22 @@ def test_pairs_of_sorted():
     group, side = np.array([0, 0, 0, 1, 2, 2, 2, 2]), np.array([-1, -1, -1, -1, 0, 1, 1, 0])
     got = sorted((int(a), int(b)) for i, j in embed_dedup.pairs_of_sorted(group, side) for a, b in zip(i, j))
     assert got == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 7), (6, 7)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at cosines just over 0.93 among vectors of 64 components, and a dense group: at least nine of ten links are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    z = rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.95, (len(x), 1))
+    near = c * x + np.sqrt(1 - c * c) * z
+    group = x[0] + rng.normal(size=(300, 64)) * 0.025
+    v = np.concatenate([x, near, group])
+    rows = [(i, y.tolist(), 0, "s", 1) for i, y in enumerate(v)]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    true = int((unit @ unit.T >= 0.93).sum()) - len(v)
+    found = sum(r.n_links for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert 0.9 * true <= found <= true + 2
