@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from corvane.session import give_back
+
 #: Distinct pre-tokens and token pairs that a worker remembers; beyond, it forgets them all and goes on. Results don't depend on it.
 REMEMBERED = 150_000
 
@@ -217,6 +219,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         e = encoder(path, pattern)
         for s in texts:
             yield ids_of(e, s)
+        give_back()
 
     return docs.withColumn(ids_col, of(F.col(text_col)))
 
@@ -238,6 +241,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "te
                     fine.append(e.bpe.decode(flat[ends[k] : ends[k + 1]].tolist()) == (t or "").encode())
                     k += 1
             yield pa.StructArray.from_arrays([ids, pa.array(fine, pa.bool_())], names=CHECKED.names)
+        give_back()
 
     x = "__encoded"
     return docs.withColumn(x, of(F.col(text_col))).withColumns({ids_col: F.col(x)["ids"], check_col: F.col(x)["round_trip"]}).drop(x)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from corvane.session import give_back
+
 BITS = 12
 DIM = 1 << BITS
 UNKNOWN = "und"
@@ -167,6 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
         m = shared.value
         for s in texts:
             yield pd.DataFrame(dict(zip(PREDICTION.names, m.predict(list(s)))), index=s.index)
+        give_back()
 
     return of(F.col(text_col))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corvane.session import cut
+from corvane.session import cut, give_back
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -151,6 +151,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count.clear()
     if count:
         yield counted()
+    count.clear()
+    give_back()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -222,6 +224,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, a in texts:
             yield pd.Series([redact(x, y) for x, y in zip(t, a)], index=t.index, dtype=object)
+        give_back()
 
     found, words = scan(docs, id_col, text_col)
     added = added_spans(found, words, **method).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("added").alias("__added"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from corvane.llm.components import FOLDED, connected_components, fold_links
-from corvane.session import cut
+from corvane.session import cut, give_back
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
@@ -55,6 +55,7 @@ def fingerprint(text: str | None) -> int:
 def simhash64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield pd.Series(np.fromiter((fingerprint(t) for t in s), np.uint64, len(s)).view(np.int64), index=s.index)
+    give_back()
 
 
 def _mask(bits: range) -> int:
