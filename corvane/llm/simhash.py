@@ -28,6 +28,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _BYTE = np.arange(8, dtype=np.int64) * 256
 #: Row keys up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Fingerprints that share a variant and still meet in one place; more are cut into blocks, and every two blocks meet.
+HOT = 4096
 #: Shingles of which the hashes are held at once.
 _CHUNK = 1 << 20
 
@@ -84,17 +86,49 @@ def first_shared(key: Column, x: Column) -> Column:
     return cases
 
 
+def hot_variants(fingerprints: DataFrame) -> DataFrame:
+    """(key, blocks) of the variants that more than HOT fingerprints may share, and into how many blocks these are cut.
+
+    A variant holds at most two values of its segment. So it is enough to count the three segment values of each fingerprint: those
+    of HOT / 2 or fewer can't make a variant of more than HOT.
+    """
+    fp = F.col("fp")
+    values = [F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int").alias("v")) for i, (lo, hi) in enumerate(SEGMENTS)]
+    counts = fingerprints.select(F.explode(F.array(*values)).alias("x")).groupBy("x.s", "x.v").agg(F.count("*").alias("c")).where(F.col("c") > HOT // 2)
+    keys = None
+    for i, (lo, hi) in enumerate(SEGMENTS):
+        own = F.array(*[F.col("v").bitwiseAND(F.lit(~(1 << (p - lo)))).bitwiseOR(F.lit(p << 22)) for p in range(lo, hi)])
+        keys = F.when(F.col("s") == i, own) if keys is None else keys.when(F.col("s") == i, own)
+    return counts.select(F.explode(keys).alias("key"), "c").groupBy("key").agg(F.ceil((F.sum("c") + HOT // 2) / HOT).cast("int").alias("blocks"))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: tuple[str, ...], once: Column) -> DataFrame:
+    """Linked pairs (a, b, n_a, n_b) of rows that are equal in `on`, under the first variant that they share."""
+    a, b = left.select(*on, F.col("fp").alias("a"), F.col("n").alias("n_a")), right.select(*on, F.col("fp").alias("b"), F.col("n").alias("n_b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    return a.join(b, list(on)).where(once & (F.bit_count(x) <= MOST_BITS) & first_shared(F.col("key"), x)).select("a", "b", "n_a", "n_b")
+
+
 def link(fingerprints: DataFrame) -> DataFrame:
     """fingerprints (fp, n, first), distinct by fp, to (fp, links, component): rows linked through other fingerprints, smallest fp reachable.
 
     Only fingerprints that have a link to another are returned.
     """
     v = fingerprints.select(F.explode(variants(F.col("fp"))).alias("key"), "fp", "n")
-    a, b = v.select("key", F.col("fp").alias("a"), F.col("n").alias("n_a")), v.select("key", F.col("fp").alias("b"), F.col("n").alias("n_b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= MOST_BITS) & first_shared(F.col("key"), x))
+    hot = cut(hot_variants(fingerprints))
+    if hot.isEmpty():
+        pairs = _meet(v, v, ("key",), F.col("a") < F.col("b"))
+    else:
+        few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        known = F.broadcast(hot) if few else hot
+        cold = v.join(known.select("key"), "key", "left_anti")
+        # block x meets block y once, for every x <= y, in a cell of its own
+        w = v.join(known, "key").withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
+        left = w.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence("own", F.col("blocks") - 1)))
+        right = w.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own"))))
+        pairs = _meet(cold, cold, ("key",), F.col("a") < F.col("b")).unionByName(_meet(left, right, ("key", "x", "y"), (F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))))
     # within the join's own tasks the links become counts and forests, so what is shuffled grows with nodes, not pairs
-    folded = cut(pairs.select("a", "b", "n_a", "n_b").mapInArrow(fold_links, FOLDED))
+    folded = cut(pairs.mapInArrow(fold_links, FOLDED))
     links = folded.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(folded.where("links is null").select(F.col("node").alias("src"), F.col("root").alias("dst")))
     return links.join(components, "node").select(F.col("node").alias("fp"), "links", "component")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from corvane.llm.components import connected_components, spanning_forest
@@ -67,10 +68,13 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).columns == ["doc_id", "fingerprint", "n_near", "component_id"]
 
 
-def test_links_of_chosen_fingerprints(spark):
-    """Every pair at 0 to 6 bits, over all splits of the bits between segments."""
+@pytest.mark.parametrize("hot", [4096, 6])
+def test_links_of_chosen_fingerprints(spark, monkeypatch, hot):
+    """Every pair at 0 to 6 bits, over all splits of the bits between segments; with hot variants cut into blocks and without."""
     from corvane.llm import simhash
 
+    monkeypatch.setattr(simhash, "HOT", hot)
+
     rng = np.random.default_rng(2)
     fps = {int(x) for x in rng.integers(0, 2**63, 40)}
     for x in list(fps):
@@ -81,6 +85,7 @@ def test_links_of_chosen_fingerprints(spark):
             fps.add(y)
     fps = [x - 2**64 if x >= 2**63 else x for x in fps]
     df = spark.createDataFrame([(x, 1, i) for i, x in enumerate(fps)], "fp long, n long, first long")
+    assert simhash.hot_variants(df).isEmpty() == (hot > len(fps))
     got = {r.fp: r.links for r in simhash.link(df).collect()}
     want = {x: sum(((x ^ y) & (2**64 - 1)).bit_count() <= 4 for y in fps if y != x) for x in fps}
     assert got == {k: v for k, v in want.items() if v}
