@@ -71,13 +71,14 @@ class Engine:
 
     # --- writing
 
-    def _codebase(self, root: str) -> tuple[int, DataFrame]:
-        """Id of the codebase of a root, made if there is none, and the table with its time set to now."""
+    def _codebase(self, root: str) -> tuple[int, list[int], DataFrame]:
+        """Id of the codebase of a root, made if there is none; ids of those whose root lies over or under it; the table with its time set to now."""
         rows = {r.root_path: r.asDict() for r in self.store.read("codebases").collect()}  # one row a codebase
         own = rows.setdefault(root, {"id": 1 + max((r["id"] for r in rows.values()), default=0), "root_path": root, "name": root.rsplit("/", 1)[-1]})
         own["indexed_at"] = self.clock()
         schema = self.store.read("codebases").schema
-        return own["id"], self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows.values()], schema)
+        nested = [r["id"] for p, r in rows.items() if p != root and (f"{p}/".startswith(f"{root}/") or f"{root}/".startswith(f"{p}/"))]
+        return own["id"], nested, self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows.values()], schema)
 
     def index(self, directory: str, languages: list[str] | None = None, progress: Progress | None = None) -> IndexResult:
         """Bring a codebase up to date: only files whose content changed are chunked and embedded again; files no longer scanned go.
@@ -87,7 +88,7 @@ class Engine:
         """
         began, root, tell = time.monotonic(), os.path.abspath(directory), once_a_percent(progress)
         result = IndexResult()
-        codebase_id, codebases = self._codebase(root)
+        codebase_id, nested, codebases = self._codebase(root)
         tell("scan")
         scanned = cut(scan(self.spark, root, languages))
         result.errors += [r.error for r in scanned.where("error is not null").select("error").collect()]
@@ -113,8 +114,9 @@ class Engine:
         kept_files = maintenance.gone(state.join(removed.select("file_path"), "file_path", "left_anti"), done)
         all_files = cut(kept_files.select(*INDEXED_FILES.names).unionByName(new_files.select(*INDEXED_FILES.names)))
 
-        # chunks of this codebase without those of replaced and removed files; then upsert on the key, which is global
-        everything = self.store.read("chunks")
+        # chunks without those of replaced and removed files; then upsert on the key, which is global. A key begins with its file's
+        # path, so only codebases that are nested with this one can hold the same, and only their folders are read
+        everything = self.store.read("chunks", codebase_id, *nested)
         out_of_date = done.select("codebase_id", "file_path").unionByName(removed.select("codebase_id", "file_path"))
         kept = everything.join(out_of_date, ["codebase_id", "file_path"], "left_anti")
         fresh = rows.select(F.lit(codebase_id).cast("long").alias("codebase_id"), "file_path", "chunk_key", "language", "kind", "name", "signature", "snippet", "start_line", "end_line", "file_hash", F.lit(now).cast("long").alias("indexed_at"), "seq")

@@ -102,10 +102,10 @@ def F7_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
  select vec_id, round(dot / sqrt(na * nq), 6) as score from p order by round(dot / sqrt(na * nq), 9) desc, vec_id limit 10""")
 def F6_quantized_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", vec.quantise(F.col("embedding")).alias("q"), F.size("embedding").alias("dim"))
-    q = v.where("vec_id = 0").select(F.col("q").alias("query"))  # one row
-    dim = len(query_vector(spark, sf_dir))
-    s = F.round(vec.quantised_cosine(F.col("q"), F.col("query"), dim), 9)
-    return v.join(F.broadcast(q)).select("vec_id", s.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", r6("s").alias("score"))
+    q = v.where("vec_id = 0").first()
+    query = F.struct(F.lit(q.q["alpha"]).alias("alpha"), F.lit(q.q["shift"]).alias("shift"), F.array(*map(F.lit, q.q["codes"])).alias("codes"))
+    s = F.round(vec.quantised_cosine(F.col("q"), query, q.dim), 9)
+    return v.select("vec_id", s.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", r6("s").alias("score"))
 
 
 @register("""with s as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as s from embeddings a, embeddings b where a.vec_id % 25 = 0 and a.vec_id <> b.vec_id),

@@ -41,13 +41,13 @@ class Store:
         except FileNotFoundError:
             return {"version": 0, "codebases": None, "parts": {t: {} for t in TABLES if t != "codebases"}}
 
-    def read(self, name: str, codebase_id: int | None = None) -> DataFrame:
-        """A table of the current version, empty if there is none; of one codebase, only its folder."""
+    def read(self, name: str, *codebase_ids: int) -> DataFrame:
+        """A table of the current version, empty if there is none; with ids, only the folders of these codebases."""
         m = self.manifest()
         if name == "codebases":
             folders = [m["codebases"]] if m["codebases"] else []
         else:
-            folders = [f for c, f in m["parts"][name].items() if codebase_id is None or int(c) == codebase_id]
+            folders = [f for c, f in m["parts"][name].items() if not codebase_ids or int(c) in codebase_ids]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[os.path.join(self.path, f) for f in folders])
