@@ -26,8 +26,8 @@ _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 _CHUNK = 1 << 20
 _BUCKETS = 40
-#: Texts of fewer than 15 distinct trigrams tell too little to be rejected.
-_LEAST_BUCKET = 4
+#: Texts of fewer than 63 distinct trigrams tell too little to be rejected.
+_LEAST_BUCKET = 6
 
 
 def has_letter(text: str | None) -> bool:
