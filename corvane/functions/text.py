@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*"
+TOKEN = r"[0-9a-z]+(?:[._-][0-9a-z]+)*"
 SHORTEST, LONGEST, MOST_TERMS = 3, 30, 12
 #: Words that say nothing about code. Those with an apostrophe are left out: it splits tokens, so they can't be met.
 STOPWORDS = frozenset(
