@@ -23,8 +23,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from corvane.session import give_back
 
-#: Distinct pre-tokens and token pairs that a worker remembers; beyond, it forgets them all and goes on. Results don't depend on it.
-REMEMBERED = 150_000
+#: Distinct pre-tokens, and token pairs, that a worker remembers in a young and an old generation each: a full young one becomes the
+#: old one, from which what is met again comes back. So the frequent ones stay. Results don't depend on it.
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,13 +35,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixBPE:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+        self.ranks, self.remembered = ranks, remembered
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.text = {r: str(r) for r in self.tokens}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
+        self._older: dict[int, bool] = {}
         self._ends: ahocorasick.Automaton | None = None
         self._lengths = {r: len(t) for t, r in ranks.items()}
 
@@ -63,11 +65,17 @@ class PrefixBPE:
 
     def beside(self, a: int, b: int) -> bool:
         """Whether a then b is the encoding of their joint bytes, b being one that merges make: undo merges, the latest first, and see that none across the border came before."""
-        known = self._pairs.get((a << 32) | b)
+        key = (a << 32) | b
+        known = self._pairs.get(key)
         if known is not None:
             return known
-        if len(self._pairs) > REMEMBERED:
+        if len(self._pairs) >= self.remembered:
+            self._older = dict(self._pairs)
             self._pairs.clear()
+        known = self._older.get(key)
+        if known is not None:
+            self._pairs[key] = known
+            return known
         x, y, limit, fine = a, b, 1 << 40, self.made(b)
         while fine:
             if self.ranks.get(self.tokens[x] + self.tokens[y], limit) < limit:
@@ -80,7 +88,7 @@ class PrefixBPE:
                 x, limit = left[1], x  # of equal ranks the left pair merges first, so only a lower rank forbids
             else:
                 y, limit = right[0], y + 1
-        self._pairs[(a << 32) | b] = fine
+        self._pairs[key] = fine
         return fine
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
@@ -170,30 +178,33 @@ class Edited:
 class TextEncoder(dict):
     """Pre-token to ids, filled as pre-tokens come."""
 
-    def __init__(self, path: str, pattern: str):
-        self.bpe, self.split = PrefixBPE(read_ranks(path)), regex.compile(pattern).findall
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.bpe, self.split, self.remembered = PrefixBPE(read_ranks(path), remembered), regex.compile(pattern).findall, remembered
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.encode(piece.encode()))
-        if len(self) < REMEMBERED:
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.bpe.encode(piece.encode()))
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
         pieces = self.split(text or "")
-        if len(self) >= REMEMBERED:
-            self.clear()
         return list(chain.from_iterable(map(self.__getitem__, pieces)))
 
 
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+_ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, pattern: str) -> TextEncoder:
-    """One a worker process and vocabulary."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = TextEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
+def encoder(*which) -> TextEncoder:
+    """One a worker process, vocabulary and size of its memory."""
+    if which not in _ENCODERS:
+        _ENCODERS[which] = TextEncoder(*which)
+    return _ENCODERS[which]
 
 
 def slices(texts: pa.Array, rows: int = 512) -> Iterator[list[str | None]]:
@@ -227,12 +238,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 CHECKED = StructType([StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
 
 
-def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip") -> DataFrame:
-    """`encode`, and whether the ids decode to the text's bytes, in one pass."""
+def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip", remembered: int = REMEMBERED) -> DataFrame:
+    """`encode`, and whether the ids decode to the text's bytes, in one pass. remembered: as REMEMBERED, less where workers share little memory."""
 
     @F.arrow_udf(CHECKED)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, remembered)
         for s in texts:
             ids = ids_of(e, s)
             flat, ends, fine, k = ids.values.to_numpy(), ids.offsets.to_numpy(), [], 0
