@@ -2,7 +2,8 @@
 
 A text becomes a TF-IDF vector of its byte trigrams, of unit length; each language has a few centroids, found by spherical
 k-means; the language of the centroid at the largest cosine is predicted. A text that lies farther from every centroid
-than the training texts of as many distinct trigrams do is marked as rejected.
+than training texts of as many distinct trigrams do is marked as rejected; pieces of training texts stand for short texts,
+and training texts put together for long ones.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 _CHUNK = 1 << 20
 _BUCKETS = 40
-#: Texts of fewer than 63 distinct trigrams tell too little to be rejected.
-_LEAST_BUCKET = 6
+#: Words of the pieces of training texts from which the distances of short texts are learned.
+_PIECE_WORDS = (1, 2, 4, 8, 16, 32)
 
 
 def has_letter(text: str | None) -> bool:
@@ -47,6 +48,13 @@ def trigram_counts(text: str) -> np.ndarray:
     return out
 
 
+def pieces(text: str, h: int) -> list[str]:
+    """Parts of the text, of few words, from a place given by h; those without a letter are left out."""
+    words = text.split()
+    at = [words[k : k + n] for n in _PIECE_WORDS if n < len(words) for k in [h % (len(words) - n + 1)]]
+    return [t for t in map(" ".join, at) if has_letter(t)]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=-1, keepdims=True)
     return x / np.where(n > 0, n, 1)
@@ -99,8 +107,18 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float = 0.4) -> Model:
-    """clusters: centroids a language. slack: a text is rejected below this share of the lowest cosine of training texts as varied."""
+def _nearest(m: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and largest cosine of each row."""
+    own = [counts[k : k + 1024] for k in range(0, len(counts), 1024)]
+    return np.concatenate([_bucket((c > 0).sum(1)) for c in own]), np.concatenate([(m.vectors(c) @ m.centroids.T).max(1) for c in own])
+
+
+def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float = 0.4, short: np.ndarray | None = None) -> Model:
+    """clusters: centroids a language. slack: a text is rejected below this share of the lowest cosine of training texts as varied.
+
+    short: counts of pieces of training texts. Where fewer than 5 training texts are as varied, pieces and sums of 2, 4, 8, ...
+    texts of a language tell the lowest cosine but for 1 %; where there are none of these either, the nearest number of trigrams does.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.ones(DIM), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(_BUCKETS))
@@ -109,10 +127,18 @@ def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float
     x, y = m.vectors(counts), np.array([languages.index(v) for v in labels])
     own = [_kmeans(x[y == i], clusters) for i in range(len(languages))]
     m.centroids, m.language_of = np.concatenate(own).astype(np.float32), np.repeat(np.arange(len(languages)), list(map(len, own)))
-    at, best = _bucket((counts > 0).sum(1)), (x @ m.centroids.T).max(1)
-    for b in range(_LEAST_BUCKET, _BUCKETS):
-        if (at == b).sum() >= 5:  # too few say nothing of how far texts as varied may lie
-            m.least[b] = slack * best[at == b].min()
+    sums = [counts[y == i][:n].sum(0) for i in range(len(languages)) for n in 2 ** np.arange(1, 1 + int(np.log2((y == i).sum())))]
+    known = [_nearest(m, counts)]
+    known.append(tuple(map(np.concatenate, zip(known[0], *[_nearest(m, np.stack(c)) for c in (sums, short) if c is not None and len(c)]))))
+    filled = []
+    for b in range(_BUCKETS):
+        for (at, best), enough, low in zip(known, (5, 1), (0, 0.01)):  # pieces may be names or junk, so a few are left out
+            if (at == b).sum() >= enough:
+                m.least[b] = slack * np.quantile(best[at == b], low, method="lower")
+                filled.append(b)
+                break
+    for b in set(range(_BUCKETS)) - set(filled):
+        m.least[b] = m.least[min(filled, key=lambda x: (abs(x - b), x))]
     return m
 
 
@@ -139,22 +165,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             rows = []
             for lang, h, text in zip(b["lang"], b["h"], b["text"]):
                 if has_letter(text):
-                    c = trigram_counts(text)
-                    at = np.flatnonzero(c)
-                    rows.append((lang, h, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "h", "at", "n"])
+                    for part, t in enumerate([text, *pieces(text, h)]):
+                        c = trigram_counts(t)
+                        at = np.flatnonzero(c)
+                        rows.append((lang, h, part > 0, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
+            yield pd.DataFrame(rows, columns=["lang", "h", "short", "at", "n"])
 
-    got = sorted((r.lang, r.h, bytes(r.at), bytes(r.n)) for r in chosen.mapInPandas(count, "lang string, h long, at binary, n binary").collect())
+    got = sorted((r.short, r.lang, r.h, bytes(r.at), bytes(r.n)) for r in chosen.mapInPandas(count, "lang string, h long, short boolean, at binary, n binary").collect())
     seen: dict[str, int] = {}
-    labels, counts = [], []
-    for lang, _, at, c in got:
+    labels, counts, parts = [], [], []
+
+    def dense(at: bytes, c: bytes) -> np.ndarray:
+        row = np.zeros(DIM, np.float32)
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(c, "<u4")
+        return row
+
+    for short, lang, _, at, c in got:
+        if short:
+            parts.append((at, c))
+            continue
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= 1.5 * sample_per_language:
             labels.append(lang)
-            row = np.zeros(DIM, np.float32)
-            row[np.frombuffer(at, "<u2")] = np.frombuffer(c, "<u4")
-            counts.append(row)
-    return train(labels, np.stack(counts) if counts else np.zeros((0, DIM), np.float32), clusters, slack)
+            counts.append(dense(at, c))
+    stack = lambda rows: np.stack(rows) if rows else np.zeros((0, DIM), np.float32)
+    return train(labels, stack(counts), clusters, slack, stack([dense(*x) for x in parts]))
 
 
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])

@@ -46,3 +46,19 @@ def test_counts_are_those_of_the_whole_text():
     assert (a == b).all() and a.sum() == 7
     t = "word " * 300_000
     assert langid.trigram_counts(t).sum() == len(t) - 1
+
+
+def test_every_length_can_be_rejected():
+    import pandas as pd
+
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").dropna(subset=["lang", "text"])
+    d = d[d.text.map(langid.has_letter)]
+    short = [langid.trigram_counts(p) for i, t in zip(d.doc_id, d.text) for p in langid.pieces(t, i)]
+    m = langid.train(list(d.lang), np.stack([langid.trigram_counts(t) for t in d.text]), short=np.stack(short))
+    assert (m.least > 0).all()
+    rng = np.random.default_rng(1)
+    noise = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n))
+    foreign = ["мы не знаем", "мы не знаем этого языка", "мы не знаем этого языка. " * 500, "我们不认识这种语言", noise(3000), noise(30_000)]
+    assert m.predict(foreign)[2].tolist() == [True] * len(foreign)
+    own = [" ".join(d.text), *[t for i, t in zip(d.doc_id, d.text) if i % 50 == 0], "the thing of it"]
+    assert not m.predict(own)[2].any()
