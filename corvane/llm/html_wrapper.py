@@ -282,7 +282,7 @@ def place(path: tuple[str, ...]) -> int:
 def choose(wrapper: list, stats: dict[int, tuple[int, int, int, bool]], varies: bool) -> tuple[list[int], list[int]]:
     """Slots that hold the main text: of pages with an article, and of other pages.
 
-    stats: by slot (pages, characters, link characters, whether its text varies). varies: whether the host's pages differ at
+    stats: by slot (different pages, characters, link characters, whether its text varies). varies: whether the host's pages differ at
     all; only then an unvarying slot is known to be the template's.
     """
     article, other = [], []
@@ -350,9 +350,9 @@ def infer(patterns: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, pattern, article, other): each host's wrapper and its slots that hold the main text."""
     read = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_read, _READ)
-    # both kinds of rows in one aggregation, partial before the shuffle: a hot host has few patterns and slots
+    # both kinds of rows in one aggregation, partial before the shuffle: one row a pattern, and one a slot and distinct page
     summed = cut(
-        read.groupBy("host", "pattern", "slot").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("text") != F.max("text")).alias("changes"), F.min("page").alias("low"), F.max("page").alias("high"))
+        read.groupBy("host", "pattern", "slot").agg(F.count_distinct(F.when(F.col("slot").isNotNull(), F.col("page"))).alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("text") != F.max("text")).alias("changes"), F.min("page").alias("low"), F.max("page").alias("high"))
     )
     wrapper = infer(summed.where("pattern is not null").select("host", "pattern"))
     varies = summed.where("pattern is not null").groupBy("host").agg((F.min("low") != F.max("high")).alias("varies"))
