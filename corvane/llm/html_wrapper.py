@@ -32,8 +32,10 @@ from corvane.session import cut
 PORTION = 200
 #: Hosts up to which the chosen slots are broadcast; for more they are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
-#: Elements nested deeper count as part of their ancestor at this depth; their text stays.
+#: Elements nested deeper count as part of their ancestor at this depth, but for those that say whether text is main text.
 DEEPEST = 48
+#: Words of an element's attributes that tell it apart; further ones are kept only when they say what it holds.
+_KEY_WORDS = 8
 #: Entries of an alignment's table at most.
 _LARGE = 4_000_000
 
@@ -54,6 +56,7 @@ _NOT_MAIN_ROLES = {f"role-{r}" for r in ("navigation", "banner", "contentinfo",
 _NOT_MAIN_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies respond sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav masthead topbar toolbar pagination pager widget".split())
 #: Reader comments and adverts are often articles too.
 _NOT_AN_ARTICLE = {"comment", "reply", "ad", "advert", "advertisement", "sponsored", "promo"}
+_MEANT = _NOT_MAIN_WORDS | _NOT_MAIN_ROLES | _NOT_AN_ARTICLE | {"role-main", "role-article", "article", "body", "header"}
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -64,13 +67,14 @@ def _signature(tag: str, attributes: str) -> str:
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         words += [("role-" if m[1].lower() == "role" else "") + w.lower() for w in _WORDS.findall(value)]
-    return ".".join([tag, *dict.fromkeys(words[:8])])
+    return ".".join([tag, *dict.fromkeys([*words[:_KEY_WORDS], *[w for w in words[_KEY_WORDS:] if w in _MEANT]])])
 
 
 def parse(html: str | None) -> list:
     """The page as nested [key, children]; a child (text, link characters) is a run of text, white space made single, not empty."""
     root: list = ["#root", []]
-    stack, tags = [root], ["#root"]
+    stack, tags, places = [root], ["#root"], [0]
+    opened: dict[str, list[int]] = {}  # by tag, where in the stack it is open
     run: list[str] = []
     links, in_link = 0, False
     at, html = 0, html or ""
@@ -84,7 +88,12 @@ def parse(html: str | None) -> list:
         run, links = [], 0
 
     def close(n: int) -> None:
-        del stack[n:], tags[n:]
+        for tag in tags[n:]:
+            opened[tag].pop()
+        del stack[n:], tags[n:], places[n:]
+
+    def last(names: set[str]) -> int:
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
 
     while True:
         m = _TOKEN.search(html, at)
@@ -106,8 +115,8 @@ def parse(html: str | None) -> list:
             continue
         flush()
         if ends:
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            if opened.get(tag):
+                close(opened[tag][-1])
             in_link = False
             continue
         if tag in _RAW:
@@ -115,24 +124,25 @@ def parse(html: str | None) -> list:
                 end = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             continue
-        if tag in _CLOSES_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        if tag in _CLOSES:
-            for n in range(len(tags) - 1, 0, -1):
-                if tags[n] in _SCOPES[tag]:
-                    break
-                if tags[n] in _CLOSES[tag]:
-                    close(n)
-                    break
+        if tag in _CLOSES_P and opened.get("p"):
+            close(opened["p"][-1])
+        if tag in _CLOSES and last(_CLOSES[tag]) > last(_SCOPES[tag]):
+            close(last(_CLOSES[tag]))
         if tag in _VOID:
             continue
         if tag == "body" or tag == "html":
             continue
         node: list = [_signature(tag, m[3]), []]
-        if len(stack) < DEEPEST:
+        place_here = _step(places[-1], node[0])
+        # beyond the cap a tag is still opened, so that its end tag closes it and no ancestor; its text goes to the ancestor
+        if len(stack) < DEEPEST or place_here != places[-1]:
             stack[-1][1].append(node)
-            stack.append(node)
-            tags.append(tag)
+        else:
+            node = stack[-1]
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        tags.append(tag)
+        places.append(place_here)
     flush()
     _refine(root)
     return root
@@ -259,23 +269,28 @@ def number(path: tuple[str, ...]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _step(inside: int, key: str) -> int:
+    """place() of an element with this key in one at `inside`."""
+    if inside < 0:
+        return -1
+    parts = key.split("[")[0].split(".")
+    tag, words = parts[0], set(parts[1:])
+    if words & {"has", "with", "no", "without"}:  # `has-sidebar` says something of what is beside; roles always mean the element
+        words = {w for w in words if w.startswith("role-")}
+    if tag in _CONTENT or words & {"role-main", "role-article"} or words >= {"article", "body"}:
+        return -1 if words & _NOT_AN_ARTICLE else 1
+    if tag in _NOT_MAIN or (tag == "header" and not inside):
+        return -1
+    if words & _NOT_MAIN_ROLES or (words & _NOT_MAIN_WORDS) or ("header" in words and not inside):
+        return -1
+    return inside
+
+
 def place(path: tuple[str, ...]) -> int:
     """-1: not main text; 1: in an article; 0: neither is said by the elements around."""
     inside = 0
     for key in path:
-        parts = key.split("[")[0].split(".")
-        tag, words = parts[0], set(parts[1:])
-        if words & {"has", "with", "no", "without"}:  # `has-sidebar` says something of what is beside
-            words = set()
-        if tag in _CONTENT or words & {"role-main", "role-article"} or words >= {"article", "body"}:
-            if words & _NOT_AN_ARTICLE:
-                return -1
-            inside = 1
-            continue
-        if tag in _NOT_MAIN or (tag == "header" and not inside):
-            return -1
-        if words & _NOT_MAIN_ROLES or (words & _NOT_MAIN_WORDS) or ("header" in words and not inside):
-            return -1
+        inside = _step(inside, key)
     return inside
 
 

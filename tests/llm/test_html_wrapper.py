@@ -95,3 +95,17 @@ def test_copies_of_a_story_are_no_template(spark):
     df = spark.createDataFrame([(i, "http://c.example.com/", x) for i, x in enumerate(other + [copied] * 5)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in h.main_text(df).collect()}
     assert [got[i] for i in range(9)] == [f"Story {i}" for i in range(4)] + ["The only one of its kind"] * 5
+
+
+def test_caps_of_depth_and_words_lose_no_meaning():
+    def main(html):
+        return [t for path, t, _ in h.texts(h.parse(html)) if h.place(path) == 1]
+
+    deep = lambda inner: f"<div><article><p>a</p>{'<div>' * 60}{inner}{'</div>' * 60}<p>rest</p></article></div><p>out</p>"
+    assert main(deep("x")) == ["a", "x", "rest"]
+    assert main(deep("<nav>menu</nav><aside>see</aside><div class=ad-slot>buy<nav><p>n</nav></div>y")) == ["a", "y", "rest"]
+    assert main("<div>" * 60 + "<article>b</article>c") == ["b"]
+    utility = "flex mt four grow basis px font leading"
+    assert main(f'<article><p>a</p><div class="{utility} sidebar">no</div><div class="{utility}" role=navigation>no</div></article>') == ["a"]
+    assert main(f'<div class="{utility} has-menu" role="main">b</div>') == ["b"]
+    h.parse("<div>" * 100_000 + "<li>" * 1000 + "</p>" * 1000 + "</div>" * 100_000)
