@@ -6,7 +6,7 @@ pointwise mutual information of word and value against the information content o
 
     PMI(c; t) = log(N n(c,t) / (n(c) n(t)))        IC(c) = log(N / n(c))
 
-in numbers of documents, over all documents. A word that gives away at least `threshold` of IC(c), with at least `support`
+in numbers of different texts, over all of them: a copied text counts once everywhere. A word that gives away at least `threshold` of IC(c), with at least `support`
 different words before it and as many behind (so that copies of one passage, edited or not, don't count as evidence), is disclosed: from `removal` on it
 is removed, below that it is generalised to its class. Its span is added wherever it stands near that value.
 """
@@ -119,31 +119,31 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _NEAR = pa.list_(pa.struct([("value", pa.int64()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.int64()), ("behind", pa.int64())]))
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("base", _SPANS), ("near", _NEAR), ("word", pa.int64()), ("docs", pa.int64())])
-SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,word:long,start:int,end:int,before:long,behind:long>>, word long, docs long"
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("base", _SPANS), ("near", _NEAR), ("word", pa.int64()), ("copies", pa.int64()), ("docs", pa.int64())])
+SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,word:long,start:int,end:int,before:long,behind:long>>, word long, copies long, docs long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, h, text) to a row a document, and rows (word, docs): in how many documents of this task a word stands."""
-    count: dict[str, int] = {}
+    """Rows (doc_id, h, text, copies) to a row a document, and rows (word, copies, docs): in how many documents of this task with so many copies a word stands."""
+    count: dict[tuple[int, str], int] = {}
 
     def counted() -> pa.RecordBatch:
         n = len(count)
         null = [pa.nulls(n, t) for t in _SCANNED.types[:4]]
-        return pa.RecordBatch.from_arrays([*null, pa.array(np.fromiter(map(_signed, count), np.int64, n)), pa.array(np.fromiter(count.values(), np.int64, n))], schema=_SCANNED)
+        return pa.RecordBatch.from_arrays([*null, pa.array(np.fromiter((_signed(w) for _, w in count), np.int64, n)), pa.array(np.fromiter((k for k, _ in count), np.int64, n)), pa.array(np.fromiter(count.values(), np.int64, n))], schema=_SCANNED)
 
     for batch in batches:
         base, near = [], []
         for at in range(0, batch.num_rows, 512):  # few texts stand in memory twice
-            for text in batch.column("text").slice(at, 512).to_pylist():
+            for text, k in zip(batch.column("text").slice(at, 512).to_pylist(), batch.column("copies").slice(at, 512).to_pylist()):
                 text = text or ""
                 base.append(base_spans(text))
                 near.append(surroundings(text, base[-1]) if base[-1] else [])
                 for w in set(_ANY_WORD.findall(text.lower())):
-                    count[w] = count.get(w, 0) + 1
+                    count[k, w] = count.get((k, w), 0) + 1
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "before", "behind"), s)) for s in x] for x in near], _NEAR), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+            [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "before", "behind"), s)) for s in x] for x in near], _NEAR), *[pa.nulls(n, pa.int64())] * 3],
             schema=_SCANNED,
         )
         if len(count) >= _COUNTED:
@@ -156,10 +156,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (doc_id, h, base, near) a row, and (word, docs) of the whole corpus in parts."""
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(_scan, SCANNED)
-    found = cut(found)
-    return found.where("base is not null").select("doc_id", "h", "base", "near"), found.where("word is not null").select("word", "docs")
+    """(doc_id, h, base, near) a row, and (word, docs) of the whole corpus: in how many different texts a word stands.
+
+    One pass over the texts for their hashes, and one with how many copies each has. The copies of a text hold the same words,
+    so their count, divided by the number of copies, is that of different texts; no text is shuffled unless copied ones are many.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    copied = cut(texts.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
+    few = copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counted = texts.join(F.broadcast(copied) if few else copied, "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    found = cut(counted.mapInArrow(_scan, SCANNED))
+    words = found.where("word is not null").groupBy("word", "copies").agg(F.sum("docs").alias("docs")).select("word", F.expr("docs div copies").alias("docs"))
+    return found.where("base is not null").select("doc_id", "h", "base", "near"), words
 
 
 def added_spans(found: DataFrame, words: DataFrame, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
@@ -170,7 +178,7 @@ def added_spans(found: DataFrame, words: DataFrame, threshold: float = 0.8, remo
     # few words get this far, so their own counts are summed after the others are dropped
     ties = cut(ties.join(values, "value"))
     n_word = words.join(ties.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("docs").alias("n_word"))
-    total = found.count()
+    total = found.select("h").distinct().count()
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_value") * F.col("n_word")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
     told = ties.join(n_word, "word").withColumn("told", pmi / F.greatest(ic, F.lit(1e-9))).where((F.col("told") >= threshold) & (ic > 0)).select("value", "word", (F.col("told") >= removal).alias("remove"))
