@@ -1,148 +1,256 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in an order given by a hash, form blocks. With weight w, block i (from 0) of a source is released at
-slot floor(i / w) and due by slot ceil((i + 1) / w); in each slot the released block with the earliest deadline goes next.
-So at every slot each source is within one block of its weight's share. Weights are multiples of 1 / Q, so the schedule
-repeats after Q slots and only one period of it is ever computed, on the driver, whatever the number of blocks. When
-a source runs out, the others go on as a new phase in their remaining proportions, each again within one block.
-No document is dropped or repeated.
+The documents of a source, in an order given by a hash, form blocks. In the fluid mix every source that still has blocks is served
+all the time, in proportion to its weight, so block i of a source with weight w is served while a virtual clock goes from
+i / w to (i + 1) / w; by that clock t(V) = sum over the sources of min(w V, blocks) slots have passed. The block is released at
+floor(t(i / w)) and due by ceil(t((i + 1) / w)), and in each slot the released block with the earliest deadline goes next. So at every slot
+each source, whatever its weight, is within one block of its share, and when one runs out the others go on in their remaining
+proportions. No document is dropped or repeated.
+
+The schedule is computed in frames. What a frame leaves over is found from counts alone: its idle slots, seen from the blocks due within it,
+are those in which a block due later runs, of which there is one a source at most. So the driver goes from frame to frame, and the
+tasks schedule the blocks within them. Weights are integers of 60 bits and all divisions are exact.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import gcd
+from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Slots of a period at most, so the least weight is one in so many; also bounds the broadcast schedule together with MOST_CLASSES.
-QUANTA = 1000
+from corvane.session import give_back, workers_can_import
+
 #: Documents of a block.
 BLOCK_DOCS = 32
-#: Sources scheduled by themselves; with more, the smallest share one class, of which no row is dropped either.
-MOST_CLASSES = 100
-_OTHERS = "\0others"
+#: Slots of a frame, and slots for each source in it, at least.
+FRAME, SLOTS_A_SOURCE = 1 << 16, 64
+#: Rows of a source that one task ranks, on average at most.
+PIECE_ROWS = 50_000
+#: Bytes up to which a table that is joined is broadcast; its rows are counted before.
+BROADCAST_BYTES = 8 << 20
+_BITS = 60
 
 
-def period(units: list[int]) -> list[int]:
-    """One period of the schedule: for each of sum(units) slots the index of the source whose block goes next."""
-    total = sum(units)
-    wait = [(0, -(-total // u), i, 0) for i, u in enumerate(units) if u]
-    heapq.heapify(wait)
+def units_of(weights: list[float]) -> np.ndarray:
+    """Weights as integers whose sum is about 2^60, at least one each."""
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    return np.array([max(1, round(w * (1 << _BITS) / total)) for w in exact], np.int64)
+
+
+def _floor_div(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a b / c) of non-negative integers, exactly, for quotients below 2^50 and c up to 2^61: the remainder tells by how much the float is off."""
+    a, b, c = (np.asarray(x, np.int64) for x in (a, b, c))
+    q = np.floor(a.astype(np.float64) * b.astype(np.float64) / np.maximum(c, 1).astype(np.float64)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        rest = a * b - c * q  # modulo 2^64, where the true remainder is small
+    return q + np.where(c > 0, rest // np.maximum(c, 1), 0)
+
+
+def _least(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Whether a b >= c d, exactly: where floats can't tell, the difference is small, so that it is right modulo 2^64."""
+    x, y = a.astype(float) * b.astype(float), c.astype(float) * d.astype(float)
+    with np.errstate(over="ignore"):
+        return np.where(np.abs(x - y) <= 1e-12 * np.maximum(x, y), a * b - c * d >= 0, x > y)
+
+
+class Fluid:
+    """The fluid mix of sources with `units` (integer weights) and `blocks`."""
+
+    def __init__(self, units: np.ndarray, blocks: np.ndarray):
+        self.units, self.blocks = np.asarray(units, np.int64), np.asarray(blocks, np.int64)
+        u, n, order = self.units, self.blocks, np.argsort(self.blocks / self.units, kind="stable")
+        while True:  # floats may have put some that are nearly equal in the wrong order
+            a, b = order[:-1], order[1:]
+            wrong = np.flatnonzero(~_least(n[b], u[a], n[a], u[b]))
+            if not len(wrong):
+                break
+            i = wrong[np.concatenate([[True], np.diff(wrong) > 1])]
+            order[i], order[i + 1] = order[i + 1], order[i].copy()
+        self.last, self.ends = order, n[order] / u[order]
+        # after the first k sources are out: their blocks, and the weight of the others
+        self.gone = np.concatenate([[0], np.cumsum(n[order])])
+        self.weight = np.concatenate([[0], np.cumsum(u[order][::-1])])[::-1].copy()
+        self.times = self.gone[:-1] + self.weight[:-1].astype(float) * self.ends  # the slot, with its fraction, at which each is out
+        self.total = int(n.sum())
+
+    def _settled(self, k: np.ndarray, out) -> np.ndarray:
+        """Number of sources that are out, from one that floats gave; out: by place in the order of the ends, whether that source is."""
+        k, n = np.array(k, np.int64), len(self.ends)
+        while True:
+            up = (k < n) & out(np.minimum(k, n - 1))
+            down = (k > 0) & ~out(np.maximum(k - 1, 0))
+            if not (up | down).any():
+                return k
+            k += up.astype(int) - (down & ~up)
+
+    def _at(self, source: np.ndarray, i: np.ndarray, up: bool) -> np.ndarray:
+        c = self.units[source]
+        out = lambda k: _least(i, self.units[self.last[k]], self.blocks[self.last[k]], c)
+        k = self._settled(np.searchsorted(self.ends, i / c, side="right"), out)
+        w = self.weight[k]
+        f = _floor_div(w, i, c)
+        with np.errstate(over="ignore"):
+            return self.gone[k] + f + (up & (w * i - c * f > 0))
+
+    def releases(self, source: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self._at(source, i, False)
+
+    def deadlines(self, source: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self._at(source, i + 1, True)
+
+    def phase(self, slot: np.ndarray) -> np.ndarray:
+        """How many sources are out by the slot."""
+        slot = np.asarray(slot, np.int64)
+        out = lambda k: _least(np.maximum(slot - self.gone[k], 0), self.units[self.last[k]], self.weight[k], self.blocks[self.last[k]])
+        return self._settled(np.searchsorted(self.times, slot, side="right"), out)
+
+    def due(self, slot: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many blocks of each source are due by the slot, and how many are released before it."""
+        k = int(self.phase(np.array([slot]))[0])
+        if k == len(self.units):
+            return self.blocks, self.blocks
+        passed, w = np.int64(slot - self.gone[k]), self.weight[k]
+        done = _floor_div(self.units, passed, w)
+        with np.errstate(over="ignore"):
+            begun = done + (self.units * passed - w * done > 0)
+        return np.minimum(done, self.blocks), np.minimum(begun, self.blocks)
+
+
+def _jobs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source, block) of the blocks lo to hi - 1 of each source."""
+    n = np.maximum(hi - lo, 0)
+    source = np.repeat(np.arange(len(n)), n)
+    return source, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def frames(fluid: Fluid, least: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first slot, end, blocks of each source before, blocks after) of each frame: what earliest-deadline-first leaves done at its end."""
+    step = max(least or FRAME, SLOTS_A_SOURCE * len(fluid.units))
+    lo = np.zeros(len(fluid.units), np.int64)
+    for start in range(0, fluid.total, step):
+        end = min(start + step, fluid.total)
+        due, begun = fluid.due(end)
+        due = np.maximum(due, lo)
+        source, block = _jobs(lo, due)
+        arrived = np.cumsum(np.bincount(np.clip(fluid.releases(source, block) - start, 0, end - start - 1), minlength=end - start))
+        idle = np.maximum(np.maximum.accumulate(np.arange(1, end - start + 1) - arrived), 0)
+        free = np.flatnonzero(np.diff(idle, prepend=0)) + start
+        later = np.flatnonzero(begun > due)
+        wait = sorted(zip(fluid.releases(later, due[later]).tolist(), fluid.deadlines(later, due[later]).tolist(), later.tolist()), reverse=True)
+        hi, ready = due.copy(), []
+        for slot in free.tolist():
+            while wait and (wait[-1][0] <= slot or not ready):
+                _, d, s = wait.pop()
+                heapq.heappush(ready, (d, s))
+            if ready:
+                hi[heapq.heappop(ready)[1]] += 1
+        yield start, end, lo, hi
+        lo = hi
+
+
+def order(fluid: Fluid, start: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source, block) of each slot from `start` on: the blocks lo to hi - 1 of the sources, earliest deadline first."""
+    source, block = _jobs(lo, hi)
+    release, due = np.maximum(fluid.releases(source, block), start), fluid.deadlines(source, block)
+    at = np.lexsort((source, due, release))
+    wait, when, n = list(zip(due[at].tolist(), source[at].tolist(), at.tolist())), release[at].tolist(), len(at)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(total):
-        while wait and wait[0][0] <= slot:
-            _, due, i, k = heapq.heappop(wait)
-            heapq.heappush(ready, (due, i, k))
-        due, i, k = heapq.heappop(ready)
-        assert slot < due
-        out.append(i)
-        k += 1
-        if k < units[i]:
-            heapq.heappush(wait, (k * total // units[i], -(-(k + 1) * total // units[i]), i, k))
-    return out
-
-
-def whole_units(weights: list[float], quanta: int) -> list[int]:
-    """Weights in units, at least one each, by largest remainders."""
-    total = sum(weights)
-    exact = [w * quanta / total for w in weights]
-    units = [max(1, int(x)) for x in exact]
-    for i in sorted(range(len(units)), key=lambda i: (units[i] - exact[i], i)):
-        if sum(units) >= quanta:
-            break
-        units[i] += 1
-    g = gcd(*units)
-    return [u // g for u in units]
-
-
-def phases(blocks: list[int], units: list[int]) -> list[dict]:
-    """Phases until every source is out: from which slot, blocks of each source before, the period and its length."""
-    left, done, slot, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        own = [u if n else 0 for u, n in zip(units, left)]
-        g = gcd(*own)
-        own = [u // g for u in own]
-        order = period(own)
-        at: list[list[int]] = [[] for _ in own]
-        for s, i in enumerate(order):
-            at[i].append(s)
-        n = len(order)
-        # the slot after which a source is out: its last block's place in its last period
-        end = min((left[i] - 1) // u * n + at[i][(left[i] - 1) % u] + 1 for i, u in enumerate(own) if u)
-        full, rest = divmod(end, n)
-        took = [full * u for u in own]
-        for i in order[:rest]:
-            took[i] += 1
-        out.append({"slot": slot, "before": list(done), "units": own, "at": at, "length": n})
-        left, done = [a - b for a, b in zip(left, took)], [a + b for a, b in zip(done, took)]
-        slot += end
-    return out
+    out, k = np.empty(n, np.int64), 0
+    for j in range(n):
+        while k < n and (when[k] <= start + j or not ready):
+            heapq.heappush(ready, wait[k])
+            k += 1
+        out[j] = heapq.heappop(ready)[2]
+    return source[out], block[out]
 
 
+def period(units: list[int]) -> list[int]:
+    """The schedule of sources that have as many blocks as they weigh: for each slot the index of the source whose block goes next."""
+    own = np.array(units, np.int64)
+    fluid = Fluid(own, own)
+    return [int(s) for start, _, lo, hi in frames(fluid) for s in order(fluid, start, lo, hi)[0]]
+
+
+_SCHEDULED = "class int, block long, slot long, phase int"
+
+
+def schedule(spark, fluid: Fluid) -> DataFrame:
+    """(class, block, slot, phase) of every block; the frames are scheduled in the tasks. What is sent to them is two numbers a source."""
+    rows = []
+    for k, (start, end, lo, hi) in enumerate(frames(fluid)):
+        own = np.flatnonzero(hi > lo)
+        rows.append((k, start, own, lo[own], hi[own]))
+    columns = dict(zip(("frame", "start", "own", "lo", "hi"), zip(*rows)))
+    table = pa.table({k: pa.array(list(v), pa.list_(pa.int64()) if k in ("own", "lo", "hi") else pa.int64()) for k, v in columns.items()})
+    units, blocks = fluid.units, fluid.blocks
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Fluid(units, blocks)
+        for b in batches:
+            for start, own, *ends in zip(*(b.column(c).to_pylist() for c in ("start", "own", "lo", "hi"))):
+                lo, hi = np.zeros((2, len(units)), np.int64)
+                lo[own], hi[own] = ends
+                source, block = order(f, start, lo, hi)
+                slot = start + np.arange(len(source))
+                yield pa.RecordBatch.from_arrays([pa.array(source.astype(np.int32)), pa.array(block), pa.array(slot), pa.array(f.phase(slot).astype(np.int32))], names=["class", "block", "slot", "phase"])
+        give_back()
+
+    # a table of Arrow data is a local relation: no Python process is started to read it
+    return spark.createDataFrame(table).repartition(min(len(rows), spark.sparkContext.defaultParallelism), "frame").mapInArrow(within, _SCHEDULED)
+
+
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Join with a table of `size` bytes: broadcast if these are few, else by a shuffle."""
+    return rows.join(F.broadcast(other) if size <= BROADCAST_BYTES else other.hint("merge"), keys)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_docs: int = BLOCK_DOCS, temperature: float = 0.5, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of `docs`: doc_id, source, block, phase, slot, place, position, and the columns in `keep`.
 
-    weights: target by source; sources without one (and null) share one class at the mean weight. Without weights a source
-    weighs its number of documents to the power `temperature`. slot is the block's place in the mix, place the
-    row's in its block (0 to block_docs - 1; the last block of a source may be short), and position = slot x block_docs + place
-    orders the mix. Rows of a source are taken in the order of a hash of id and text; equal rows are rows of their own in any order.
-    An empty table gives an empty result; other columns are ignored.
+    weights: target by source; each source without one (and null, which is a source of its own) weighs the mean of those given divided by the number
+    of sources without one. Without weights a source weighs its number of documents to the power `temperature`. Weights count as multiples of 2^-60
+    of their sum. phase is the number of sources that are out by the slot. slot is the block's place in the mix, place the row's in its block
+    (0 to block_docs - 1; the last block of a source may be short), and position = slot x block_docs + place orders the mix. Rows of a
+    source are taken in the order of a hash of id and text; equal rows are rows of their own in any order. An empty table gives an
+    empty result; other columns are ignored. The driver holds some numbers a source, whatever the number of documents.
     """
     spark = docs.sparkSession
+    workers_can_import(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed)).alias("h"), *[F.expr(k) for k in keep])
+    rest = [c for c in own.columns if c not in ("doc_id", "source", "h")]
+    counts = sorted(((r.source, r["count"]) for r in own.groupBy("source").count().collect()), key=lambda r: (r[0] is None, str(r[0])))
+    if not counts:
+        kinds = (("block", "long"), ("phase", "int"), ("slot", "long"), ("place", "int"), ("position", "long"))
+        return own.select("doc_id", "source", *[F.lit(0).cast(t).alias(n) for n, t in kinds], *rest)
+    sizes = np.array([n for _, n in counts], np.int64)
     if weights is not None:
-        if len(weights) > QUANTA // 2:
-            raise ValueError(f"at most {QUANTA // 2} weights")
-        named = sorted(weights)
-    else:
-        named = [r.source for r in own.where("source is not null").groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_CLASSES).collect()]
-    known = F.col("source").isin(named) if named else F.lit(False)
-    own = own.withColumn("class", F.when(known, F.col("source")).otherwise(F.lit(_OTHERS)))
-    # how many rows of each class have each leading hash bits: at most (classes x 1024) rows, summed before they are shuffled
-    piece = F.shiftrightunsigned("h", 54)
-    sizes = {(r["class"], r["piece"]): r["count"] for r in own.groupBy("class", piece.alias("piece")).count().collect()}
-    totals: dict[str, int] = {}
-    for (c, _), n in sizes.items():
-        totals[c] = totals.get(c, 0) + n
-    classes = sorted(totals)
-    if not classes:
-        return own.select("doc_id", "source", *[F.lit(0).cast(t).alias(n) for n, t in (("block", "long"), ("phase", "int"), ("slot", "long"), ("place", "int"), ("position", "long"))], *[c for c in own.columns if c not in ("doc_id", "source", "h", "class")])
-    if weights is not None:
-        mean = sum(weights.values()) / max(1, len(weights)) or 1.0
-        target = [weights.get(c, mean) for c in classes]
-        if min(target) <= 0:
+        if any(not w > 0 for w in weights.values()):
             raise ValueError("weights must be positive")
+        without = sum(s not in weights for s, _ in counts)
+        mean = sum(weights.values()) / len(weights) if weights else 1.0
+        target = [weights.get(s, mean / max(1, without)) for s, _ in counts]
     else:
-        target = [totals[c] ** temperature for c in classes]
-    # rank within a class: rows before one's piece, and the rank within the piece, so that no task sorts a whole class
-    before, run = [], dict.fromkeys(classes, 0)
-    for c, p in sorted(sizes):
-        before.append((c, p, run[c]))
-        run[c] += sizes[c, p]
-    offsets = spark.createDataFrame(before, "class string, piece long, before long")
-    # offsets: at most 101 classes x 1024 pieces; schedule: at most 101 phases x max(QUANTA, classes) slots
-    ranked = own.withColumn("piece", piece).join(F.broadcast(offsets), ["class", "piece"])
-    rank = F.expr("row_number() over (partition by class, piece order by h, doc_id)") - 1 + F.col("before")
-    ranked = ranked.withColumn("rank", rank).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", (F.col("rank") % block_docs).cast("int"))
-    plan = phases([-(-totals[c] // block_docs) for c in classes], whole_units(target, max(QUANTA, 2 * len(classes))))
-    rows = []
-    for k, p in enumerate(plan):
-        after = plan[k + 1]["before"] if k + 1 < len(plan) else [-(-totals[c] // block_docs) for c in classes]
-        rows += [(c, k, p["before"][i], after[i], p["units"][i], p["length"], p["slot"], j, s) for i, c in enumerate(classes) for j, s in enumerate(p["at"][i])]
-    # a block's phase is the one whose range holds it; then its place in the period is an exact match
-    spans = {c: [(k, p["before"][i]) for k, p in enumerate(plan) if p["units"][i]] for i, c in enumerate(classes)}
-    ranges = spark.createDataFrame([(c, [lo for _, lo in x], [k for k, _ in x], [plan[k]["units"][i] for k, _ in x], [plan[k]["length"] for k, _ in x], [plan[k]["slot"] for k, _ in x]) for i, (c, x) in enumerate(spans.items())], "class string, lows array<long>, ks array<int>, us array<int>, ls array<int>, starts array<long>")
-    n = F.expr("size(filter(lows, x -> x <= block))")
-    placed = ranked.join(F.broadcast(ranges), "class").withColumn("n", n).select("doc_id", "source", "class", "block", "place", *[c for c in own.columns if c not in ("doc_id", "source", "h", "class")], F.expr("block - element_at(lows, n)").alias("i"), F.expr("element_at(ks, n)").alias("phase"), F.expr("element_at(us, n)").alias("u"), F.expr("element_at(ls, n)").alias("l"), F.expr("element_at(starts, n)").alias("start")).withColumn("j", F.expr("cast(i % u as int)"))
-    schedule = spark.createDataFrame([(r[0], r[1], r[7], r[8]) for r in rows], "class string, phase int, j int, at int")
-    slot = F.expr("start + (i - j) div u * l + at")
-    out = placed.join(F.broadcast(schedule), ["class", "phase", "j"]).withColumn("slot", slot)
-    rest = [c for c in own.columns if c not in ("doc_id", "source", "h", "class")]
+        target = [float(n) ** temperature for n in sizes]
+    fluid = Fluid(units_of(target), -(-sizes // block_docs))
+    # a source's rows are ranked in pieces of its hashes, so that no task sorts a whole source
+    bits = np.array([max(0, ceil(log2(n / PIECE_ROWS))) for n in sizes], np.int32)
+    classes = spark.createDataFrame(pa.table({"__source": pa.array([s for s, _ in counts], pa.string()), "class": pa.array(np.arange(len(counts), dtype=np.int32)), "bits": pa.array(bits)}))
+    own = own.withColumn("__s", F.col("source").cast("string"))
+    width = sum(40 + len(str(s)) for s, _ in counts)
+    own = own.join(F.broadcast(classes) if width <= BROADCAST_BYTES else classes.hint("merge"), F.col("__s").eqNullSafe(F.col("__source"))).withColumn("piece", F.expr("shiftrightunsigned(shiftrightunsigned(h, 1), 63 - bits)"))
+    before = F.expr("sum(n) over (partition by class order by piece) - n")
+    pieces = own.groupBy("class", "piece").agg(F.count("*").alias("n")).select("class", "piece", before.alias("before"))
+    ranked = _joined(own, pieces, ["class", "piece"], int((1 << bits.astype(np.int64)).sum()) * 40)
+    ranked = ranked.withColumn("rank", F.expr("row_number() over (partition by class, piece order by h, doc_id)") - 1 + F.col("before"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("place", (F.col("rank") % block_docs).cast("int"))
+    out = _joined(ranked, schedule(spark, fluid), ["class", "block"], fluid.total * 40)
     return out.select("doc_id", "source", "block", "phase", "slot", "place", (F.col("slot") * block_docs + F.col("place")).alias("position"), *rest)
 
 
