@@ -11,11 +11,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from corvane.session import give_back
 #: Distinct pre-tokens, and token pairs, that a worker remembers in a young and an old generation each: a full young one becomes the
 #: old one, from which what is met again comes back. So the frequent ones stay. Results don't depend on it.
 REMEMBERED = 200_000
+#: Characters of a pre-token that is remembered at most, which bounds the bytes.
+_REMEMBERED_CHARS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,6 +190,8 @@ class TextEncoder(dict):
         ids = self.older.get(piece)
         if ids is None:
             ids = tuple(self.bpe.encode(piece.encode()))
+            if len(piece) > _REMEMBERED_CHARS:
+                return ids
         if len(self) >= self.remembered:
             self.older = dict(self)
             self.clear()
@@ -196,21 +202,34 @@ class TextEncoder(dict):
         pieces = self.split(text or "")
         return list(chain.from_iterable(map(self.__getitem__, pieces)))
 
-
-_ENCODERS: dict[tuple, TextEncoder] = {}
-
-
-def encoder(*which) -> TextEncoder:
-    """One a worker process, vocabulary and size of its memory."""
-    if which not in _ENCODERS:
-        _ENCODERS[which] = TextEncoder(*which)
-    return _ENCODERS[which]
+    def forget(self) -> None:
+        self.clear()
+        self.older.clear()
+        self.bpe.__dict__.clear()
+
+
+@contextmanager
+def encoder(*which) -> Iterator[TextEncoder]:
+    """One a task. At its end what it remembers goes, as the worker process lives on and shares the executor's memory."""
+    e = TextEncoder(*which)
+    try:
+        yield e
+    finally:
+        e.forget()
+        del e
+        give_back()
 
 
-def slices(texts: pa.Array, rows: int = 512) -> Iterator[list[str | None]]:
-    """A batch's texts in turn, so that few of them stand in memory twice."""
-    for at in range(0, len(texts), rows):
-        yield texts.slice(at, rows).to_pylist()
+def slices(texts: pa.Array, rows: int = 512, size: int = 4 << 20) -> Iterator[list[str | None]]:
+    """A batch's texts in turn, so that few of them, or one long one, stand in memory twice."""
+    lengths = pc.binary_length(texts) if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else pc.list_value_length(texts)
+    n = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        own = n[at : at + rows]
+        k = max(1, int(np.searchsorted(np.cumsum(own), size, side="right")))
+        yield texts.slice(at, min(k, len(own))).to_pylist()
+        at += min(k, len(own))
 
 
 def ids_of(e: TextEncoder, texts: pa.Array) -> pa.ListArray:
@@ -227,10 +246,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        e = encoder(path, pattern)
-        for s in texts:
-            yield ids_of(e, s)
-        give_back()
+        with encoder(path, pattern) as e:
+            for s in texts:
+                yield ids_of(e, s)
 
     return docs.withColumn(ids_col, of(F.col(text_col)))
 
@@ -243,16 +261,15 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 
     @F.arrow_udf(CHECKED)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        e = encoder(path, pattern, remembered)
-        for s in texts:
-            ids = ids_of(e, s)
-            flat, ends, fine, k = ids.values.to_numpy(), ids.offsets.to_numpy(), [], 0
-            for own in slices(s):
-                for t in own:
-                    fine.append(e.bpe.decode(flat[ends[k] : ends[k + 1]].tolist()) == (t or "").encode())
-                    k += 1
-            yield pa.StructArray.from_arrays([ids, pa.array(fine, pa.bool_())], names=CHECKED.names)
-        give_back()
+        with encoder(path, pattern, remembered) as e:
+            for s in texts:
+                ids = ids_of(e, s)
+                flat, ends, fine, k = ids.values.to_numpy(), ids.offsets.to_numpy(), [], 0
+                for own in slices(s):
+                    for t in own:
+                        fine.append(e.bpe.decode(flat[ends[k] : ends[k + 1]].tolist()) == (t or "").encode())
+                        k += 1
+                yield pa.StructArray.from_arrays([ids, pa.array(fine, pa.bool_())], names=CHECKED.names)
 
     x = "__encoded"
     return docs.withColumn(x, of(F.col(text_col))).withColumns({ids_col: F.col(x)["ids"], check_col: F.col(x)["round_trip"]}).drop(x)
@@ -263,9 +280,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", te
 
     @F.arrow_udf(StringType())
     def of(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        b = encoder(path, pattern).bpe
-        for s in ids:
-            yield pa.array([None if x is None else b.decode(x).decode("utf-8", "replace") for own in slices(s) for x in own], pa.string())
+        with encoder(path, pattern) as e:
+            for s in ids:
+                yield pa.array([None if x is None else e.bpe.decode(x).decode("utf-8", "replace") for own in slices(s) for x in own], pa.string())
 
     return encoded.withColumn(text_col, of(F.col(ids_col)))
 
@@ -282,16 +299,16 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     @F.arrow_udf(DIGEST)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        e = encoder(path, pattern)
         sha = hashlib.sha256
-        for s in texts:
-            n, ids_sha, decoded_sha = [], [], []
-            for own in slices(s):
-                for t in own:
-                    ids = e.encode(t)
-                    n.append(len(ids))
-                    ids_sha.append(sha(" ".join(map(e.bpe.text.__getitem__, ids)).encode()).hexdigest())
-                    decoded_sha.append(sha(e.bpe.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=DIGEST.names)
+        with encoder(path, pattern) as e:
+            for s in texts:
+                n, ids_sha, decoded_sha = [], [], []
+                for own in slices(s):
+                    for t in own:
+                        ids = e.encode(t)
+                        n.append(len(ids))
+                        ids_sha.append(sha(" ".join(map(e.bpe.text.__getitem__, ids)).encode()).hexdigest())
+                        decoded_sha.append(sha(e.bpe.decode(ids)).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=DIGEST.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("x")).select("doc_id", "x.*")
