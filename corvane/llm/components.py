@@ -13,6 +13,8 @@ from corvane.session import cut
 
 #: Links that a task holds before it replaces them by counts and a spanning forest.
 HELD_LINKS = 1_000_000
+#: Links that one task takes in whole, 16 bytes each; more go through rounds of joins.
+WHOLE_LINKS = 2_000_000
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +71,22 @@ def fold_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOLDED = "node long, root long, links long"
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (u, v) to each node with the smallest node that it reaches."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        a, b = map(np.concatenate, zip(*held))
+        node, root = spanning_forest(a, b)
+        tops = np.setdiff1d(np.concatenate([a, b]), node)
+        yield pa.record_batch({"node": pa.array(np.concatenate([node, tops])), "component": pa.array(np.concatenate([root, tops]))})
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (src long, dst long) to (node, component): each node of an edge with the smallest node that it reaches.
 
-    Alternates the large-star and small-star steps (Kiveris et al. 2014) until the links are stars. Links are written to
-    the shared checkpoint folder after each round. Nulls, loops and repeated links are dropped; without links the result is empty.
+    Links counted to be few are taken in by one task. More alternate the large-star and small-star steps (Kiveris et al. 2014) until the
+    links are stars, and are written to the shared checkpoint folder after each round. Nulls, loops and repeated links are dropped;
+    without links the result is empty.
     """
     e = (
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
@@ -86,7 +99,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     seen = state()
-    while seen[0]:
+    if seen[0] <= WHOLE_LINKS:
+        return e.coalesce(1).mapInArrow(_whole, "node long, component long")
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -1,21 +1,25 @@
 """Personal data: patterns first, then terms that give a protected value away.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. The method, information-theoretic sanitisation (after
-Sánchez and Batet, 2016), asks of every word near a found value how strongly the corpus ties the two together: the
+Sánchez and Batet, 2016), asks of every word of a document that holds such a value how strongly the corpus ties the two together: the
 pointwise mutual information of word and value against the information content of the value,
 
     PMI(c; t) = log(N n(c,t) / (n(c) n(t)))        IC(c) = log(N / n(c))
 
-in numbers of different texts, over all of them: a copied text counts once everywhere. A word that gives away at least `threshold` of IC(c), with at least `support`
-different words before it and as many behind (so that copies of one passage, edited or not, don't count as evidence), is disclosed: from `removal` on it
-is removed, below that it is generalised to its class. Its span is added wherever it stands near that value.
+in numbers of different texts, over all of them: a copied text counts once everywhere. A word that gives away at least `threshold` of
+IC(c) is disclosed if the two meet in at least `support` independent texts. Texts are independent unless copying joins them: texts with a
+band of equal min-hashes of their word sequences are one class, and classes are counted. A word that only ever stands right between
+two values has no context of its own and is no evidence. From `removal` on a disclosed word is removed, below that it is
+generalised to its class, wherever it stands in a text with that value.
+
+A string of mixed letters and digits, like a key or a password, is a protected entity itself and gives itself away entirely. It is
+removed where the corpus holds it to be identifying: its own information content is at least `identifying` of that of a term of one text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corvane.session import cut, give_back
+from corvane.llm.components import connected_components
+from corvane.llm.joins import sized
+from corvane.session import cut, give_back, workers_can_import
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -38,12 +44,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile(r"(?<![^\W_])[^\W_]{3,}")
 _ANY_WORD = re.compile(r"[^\W_]{3,}")
-#: Words on either side of a value that are held against it, and how far they are looked for.
-WINDOW_WORDS, WINDOW_CHARS = 5, 160
+_OPAQUE = re.compile(r"(?<![^\W_])(?=[^\W\d_]*\d)(?=\d*[^\W\d_])[^\W_]{16,}+")
+_CHANGE = re.compile(r"(?<=\d)[^\W\d_]|(?<=[^\W\d_])\d")
+#: Bands of min-hashes that mark texts as copies of each other, and min-hashes of a band: of texts that share 85 % of their sequences
+#: of four words 94 % agree in a band, of those that share 20 % 2 %.
+BANDS, BAND = 3, 3
+_SEQUENCE = 4
 #: Distinct words that a task counts before it sends the counts on.
 _COUNTED = 200_000
-#: Rows of added spans up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", k) | 1 for k in range(BANDS * BAND)], np.uint64)
 
 
 def luhn(digits: str) -> bool:
@@ -101,26 +110,56 @@ def _signed(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(value, word, start, end, word before, word behind) of the words near each base span that lie in none."""
-    out = []
-    for start, kind, end in spans:
-        before = list(_WORD.finditer(text, max(0, start - WINDOW_CHARS), start))[-WINDOW_WORDS:]
-        stop = min(len(text), end + WINDOW_CHARS)
-        behind = [m for m in islice(_WORD.finditer(text, end, stop), WINDOW_WORDS) if m.end() < stop or stop == len(text)]
-        words = [m[0].lower() for m in before] + ["\0"] + [m[0].lower() for m in behind]
-        value = _value(kind, text[start:end])
-        for i, m in enumerate(before + behind):
-            k = i if i < len(before) else i + 1
-            if not any(s < m.end() and m.start() < e for s, _, e in spans):
-                out.append((value, _signed(words[k]), m.start(), m.end(), _signed(words[k - 1] if k else ""), _signed(words[k + 1] if k + 1 < len(words) else "")))
+def opaque(text: str) -> list[tuple[int, int, int]]:
+    """(word, start, end) of strings of 16 letters and digits or more that change between the two at least twice."""
+    return [(_signed(m[0].lower()), m.start(), m.end()) for m in _OPAQUE.finditer(text) if len(_CHANGE.findall(m[0])) >= 2]
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    """The words of a text that lie in no base span and don't only stand right between two of them."""
+    out, k, last, held = set(), 0, False, None
+    ends = [(s, e) for s, _, e in spans]
+    reach = 0  # where the spans that began before end
+    for m in _WORD.finditer(text):
+        start, end = m.span()
+        value = False
+        while k < len(ends) and ends[k][0] < end:
+            value, reach, k = True, max(reach, ends[k][1]), k + 1
+        if held is not None and not value:
+            out.add(held)
+        held = None
+        if start < reach:  # in a value
+            last = True
+            continue
+        word = _signed(m[0].lower())
+        if last or value:
+            held = word  # right behind a value; to be seen whether right before one, too
+        else:
+            out.add(word)
+        last = False
+    if held is not None and k == len(ends):
+        out.add(held)
     return out
 
 
+def bands(text: str) -> list[int]:
+    """Numbers of a text's bands of min-hashes over its sequences of words."""
+    words = text.lower().split()
+    n = max(1, len(words) - _SEQUENCE + 1)
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, n, 1 << 16):
+        own = [xxhash.xxh64_intdigest(" ".join(words[i : i + _SEQUENCE]).encode("utf-8", "surrogatepass")) for i in range(at, min(n, at + (1 << 16)))]
+        h = np.array(own, np.uint64)[:, None]
+        with np.errstate(over="ignore"):
+            low = np.minimum(low, ((h ^ (h >> np.uint64(29))) * _FACTORS[None, :]).min(0))
+    return [_signed(f"{k}:{low[k * BAND : (k + 1) * BAND].tolist()}") for k in range(BANDS)]
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("value", pa.int64()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.int64()), ("behind", pa.int64())]))
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("base", _SPANS), ("near", _NEAR), ("word", pa.int64()), ("copies", pa.int64()), ("docs", pa.int64())])
-SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, near array<struct<value:long,word:long,start:int,end:int,before:long,behind:long>>, word long, copies long, docs long"
+_OPAQUES = pa.list_(pa.struct([("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_LONGS = pa.list_(pa.int64())
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("base", _SPANS), ("opaque", _OPAQUES), ("held", _LONGS), ("words", _LONGS), ("bands", _LONGS), ("word", pa.int64()), ("copies", pa.int64()), ("docs", pa.int64())])
+SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>, opaque array<struct<word:long,start:int,end:int>>, held array<long>, words array<long>, bands array<long>, word long, copies long, docs long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +168,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.RecordBatch:
         n = len(count)
-        null = [pa.nulls(n, t) for t in _SCANNED.types[:4]]
+        null = [pa.nulls(n, t) for t in _SCANNED.types[:7]]
         return pa.RecordBatch.from_arrays([*null, pa.array(np.fromiter((_signed(w) for _, w in count), np.int64, n)), pa.array(np.fromiter((k for k, _ in count), np.int64, n)), pa.array(np.fromiter(count.values(), np.int64, n))], schema=_SCANNED)
 
     for batch in batches:
-        base, near = [], []
+        base, strings, values, words, marks = [], [], [], [], []
         for at in range(0, batch.num_rows, 512):  # few texts stand in memory twice
             for text, k in zip(batch.column("text").slice(at, 512).to_pylist(), batch.column("copies").slice(at, 512).to_pylist()):
                 text = text or ""
-                base.append(base_spans(text))
-                near.append(surroundings(text, base[-1]) if base[-1] else [])
+                spans = base_spans(text)
+                base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
+                strings.append([dict(zip(("word", "start", "end"), s)) for s in opaque(text) if not any(a < s[2] and s[1] < b for a, _, b in spans)])
+                values.append(list({_value(kind, text[a:b]) for a, kind, b in spans}))
+                words.append(list(candidates(text, spans)) if spans else [])
+                marks.append(bands(text) if spans else [])
                 for w in set(_ANY_WORD.findall(text.lower())):
                     count[k, w] = count.get((k, w), 0) + 1
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array([[dict(zip(("start", "kind", "end"), s)) for s in x] for x in base], _SPANS), pa.array([[dict(zip(("value", "word", "start", "end", "before", "behind"), s)) for s in x] for x in near], _NEAR), *[pa.nulls(n, pa.int64())] * 3],
-            schema=_SCANNED,
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *[pa.array(x, t) for x, t in zip((base, strings, values, words, marks), _SCANNED.types[2:7])], *[pa.nulls(n, pa.int64())] * 3], schema=_SCANNED)
         if len(count) >= _COUNTED:
             yield counted()
             count.clear()
@@ -156,34 +196,71 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, base, near) a row, and (word, docs) of the whole corpus: in how many different texts a word stands.
+    """A row a document (doc_id, h, base, opaque, held, words, bands), and (word, docs) of the whole corpus: in how many different texts a word stands.
 
     One pass over the texts for their hashes, and one with how many copies each has. The copies of a text hold the same words,
     so their count, divided by the number of copies, is that of different texts; no text is shuffled unless copied ones are many.
     """
+    workers_can_import(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     copied = cut(texts.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
-    few = copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    counted = texts.join(F.broadcast(copied) if few else copied, "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    counted = texts.join(sized(copied, 16), "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     found = cut(counted.mapInArrow(_scan, SCANNED))
     words = found.where("word is not null").groupBy("word", "copies").agg(F.sum("docs").alias("docs")).select("word", F.expr("docs div copies").alias("docs"))
-    return found.where("base is not null").select("doc_id", "h", "base", "near"), words
-
-
-def added_spans(found: DataFrame, words: DataFrame, threshold: float = 0.8, removal: float = 0.95, support: int = 3) -> DataFrame:
-    """(doc_id, h, added): for each distinct document with disclosed terms their spans (start, kind, end) and whether each is removed."""
-    near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    ties = near.groupBy("value", "word").agg(F.count_distinct("h").alias("both"), F.count_distinct("before").alias("before"), F.count_distinct("behind").alias("behind")).where(F.least("before", "behind") >= support)
-    values = near.select("value", "h").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    # few words get this far, so their own counts are summed after the others are dropped
-    ties = cut(ties.join(values, "value"))
+    return found.where("base is not null").select("doc_id", "h", "base", "opaque", "held", "words", "bands"), words
+
+
+def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float, removal: float, support: int) -> DataFrame:
+    """(h, terms): for each different text with disclosed words these, as (word, remove)."""
+    values = found.where(F.size("held") > 0).select("h", F.explode("held").alias("value")).distinct()
+    # a value of fewer texts than must be independent discloses nothing; these are nearly all, and only the others' words go on
+    often = cut(values.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= support))
+    own = cut(values.join(sized(often, 16), "value").select("h", "value", "n_value"))
+    texts = cut(found.select("h", "words", "bands").join(sized(own.select("h").distinct(), 8), "h", "left_semi").dropDuplicates(["h"]))
+    # classes of texts that copying joins: those of a band hang together
+    classes = connected_components(texts.select("h", F.explode("bands").alias("band")).select(F.col("h").alias("src"), F.col("band").alias("dst"))).withColumnRenamed("node", "h")
+    pairs = own.join(texts.select("h", "words"), "h").join(classes, "h").select("h", "value", "n_value", "component", F.explode("words").alias("word"))
+    ties = pairs.groupBy("value", "n_value", "word", "component").agg(F.count("*").alias("n")).groupBy("value", "n_value", "word").agg(F.sum("n").alias("both"), F.count("*").alias("classes")).where(F.col("classes") >= support)
+    ties = cut(ties)
     n_word = words.join(ties.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("docs").alias("n_word"))
-    total = found.select("h").distinct().count()
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_value") * F.col("n_word")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
-    told = ties.join(n_word, "word").withColumn("told", pmi / F.greatest(ic, F.lit(1e-9))).where((F.col("told") >= threshold) & (ic > 0)).select("value", "word", (F.col("told") >= removal).alias("remove"))
-    spans = near.join(told, ["value", "word"]).groupBy("doc_id", "h", "start", "end").agg(F.max("remove").alias("remove"))
-    return cut(spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "remove"))).alias("added")))
+    told = cut(ties.join(n_word, "word").withColumn("told", pmi / F.greatest(ic, F.lit(1e-9))).where((F.col("told") >= threshold) & (ic > 0)).select("value", "word", (F.col("told") >= removal).alias("remove")))
+    terms = pairs.join(sized(told, 17), ["value", "word"]).groupBy("h", "word").agg(F.max("remove").alias("remove"))
+    return cut(terms.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("word", "remove"))).alias("terms")))
+
+
+def common_strings(found: DataFrame, words: DataFrame, total: int, identifying: float) -> list[int]:
+    """Opaque strings in too many different texts to identify. Each is in more than total^(1 - identifying) texts, so they are few: about the root of their number."""
+    strings = found.where(F.size("opaque") > 0).select(F.explode("opaque.word").alias("word")).distinct()
+    n = words.join(strings, "word", "left_semi").groupBy("word").agg(F.sum("docs").alias("n"))
+    return sorted(r.word for r in n.where(F.col("n") > float(max(total, 1)) ** (1 - identifying)).select("word").collect())
+
+
+def term_spans(text: str, terms: list | None, common: frozenset[int]) -> list[tuple[int, int, int, bool]]:
+    """(start, kind, end, remove) of the disclosed words and identifying strings of a text, outside its base spans."""
+    told = {x["word"]: x["remove"] for x in (terms if terms is not None else ())}
+    for w, _, _ in opaque(text):
+        if w not in common:
+            told[w] = True
+    if not told:
+        return []
+    base = base_spans(text)
+    out = [(m.start(), KINDS.index("term"), m.end(), told[w]) for m in _WORD.finditer(text) if (w := _signed(m[0].lower())) in told]
+    return [x for x in out if not any(s < x[2] and x[0] < e for s, _, e in base)]
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, removal: float = 0.95, support: int = 3, identifying: float = 0.5) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """What the corpus tells: the rows of scan(), disclosed words by text, and opaque strings that identify nothing."""
+    found, words = scan(docs, id_col, text_col)
+    total = found.select("h").distinct().count()
+    return found, disclosed(found, words, total, threshold, removal, support), frozenset(common_strings(found, words, total, identifying))
+
+
+def with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """`docs` with a column __terms: what terms (h, terms) has for a text. Texts are shuffled only if the terms are too large to be broadcast."""
+    own = sized(terms, 8 + 9 * F.size("terms")).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    return docs.join(own, F.xxhash64(docs[text_col]) == own["__h"], "left").drop("__h")
 
 
 def _joined(spans: Column) -> Column:
@@ -191,25 +268,40 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
-def with_added(rows: DataFrame, added: DataFrame) -> DataFrame:
-    """Left join of rows (doc_id, h, ...) with the added spans; broadcast only when they are counted to be few."""
-    few = added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    a = added.select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "added")
-    return rows.join(F.broadcast(a) if few else a, rows["h"].eqNullSafe(a["__h"]) & rows["doc_id"].eqNullSafe(a["__i"]), "left").drop("__i", "__h")
+_ADDED = "array<struct<start:int,kind:int,end:int>>"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **method: float) -> DataFrame:
-    """Per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (of the base and the method), n_term.
+    """Per row of `docs`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (of the base and the method), n_term, n_spans.
 
-    Null texts are empty, without spans; rows with null or equal ids are rows of their own (those with equal id and text get equal spans);
+    Null texts are empty, without spans; rows with null or equal ids are rows of their own (those with equal text get equal spans);
     other columns are ignored. Spans are kind:start:end by start, then kind.
     """
-    found, words = scan(docs, id_col, text_col)
-    rows = with_added(found.select("doc_id", "h", "base"), added_spans(found, words, **method))
-    own = F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,remove:boolean>>"))
-    every = F.array_sort(F.concat("base", F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))))
+    found, terms, common = learn(docs, id_col, text_col, **method)
+
+    @F.pandas_udf(_ADDED)
+    def added(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, told in batches:
+            yield pd.Series([[x[:3] for x in term_spans(t or "", w, common)] for t, w in zip(texts, told)], index=texts.index, dtype=object)
+
+    # texts with disclosed words are looked at again; opaque strings have their places already
+    told = with_terms(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", terms).where("__terms is not null")
+    again = cut(told.select(F.xxhash64("text").alias("__h"), added("text", "__terms").alias("added")).dropDuplicates(["__h"])) if not terms.isEmpty() else None
+
+    @F.pandas_udf(_ADDED)
+    def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[(x["start"], KINDS.index("term"), x["end"]) for x in own if x["word"] not in common] for own in s], index=s.index, dtype=object)
+
+    rows = found.select("doc_id", "h", "base", "opaque")
+    alone = strings("opaque") if common else F.transform("opaque", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), x["end"].alias("end")))
+    rows = rows.withColumn("own", alone)
+    if again is not None:
+        a = sized(again, 8 + 12 * F.size("added"))
+        rows = rows.join(a, rows["h"] == a["__h"], "left").withColumn("own", F.coalesce("added", "own"))
+    every = F.array_sort(F.concat("base", "own"))
     count = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return rows.select("doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size(own).cast("long").alias("n_term"))
+    return rows.select("doc_id", *count, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("own").cast("long").alias("n_term"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(text: str | None, added: list | None) -> str | None:
@@ -228,17 +320,15 @@ def redact(text: str | None, added: list | None) -> str | None:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **method: float) -> DataFrame:
     """`docs` with its texts redacted: same rows, same columns. A null text stays null; n_chars, if there, is set to the new length."""
 
+    _, terms, common = learn(docs, id_col, text_col, **method)
+
     @F.pandas_udf(StringType())
     def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, a in texts:
-            yield pd.Series([redact(x, y) for x, y in zip(t, a)], index=t.index, dtype=object)
+        for t, told in texts:
+            yield pd.Series([None if x is None else redact(x, [dict(zip(("start", "kind", "end", "remove"), y)) for y in term_spans(x, w, common)]) for x, w in zip(t, told)], index=t.index, dtype=object)
         give_back()
 
-    found, words = scan(docs, id_col, text_col)
-    added = added_spans(found, words, **method).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("added").alias("__added"))
-    few = added.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(added) if few else added, F.xxhash64(docs[text_col]).eqNullSafe(added["__h"]) & docs[id_col].eqNullSafe(added["__i"]), "left")
-    out = rows.withColumn(text_col, of(F.col(text_col), F.col("__added")))
+    out = with_terms(docs, text_col, terms).withColumn(text_col, of(F.col(text_col), F.col("__terms")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
