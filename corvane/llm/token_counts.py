@@ -1,7 +1,7 @@
 """Token counts of a unigram tokenizer by dynamic programming over a trie.
 
 The best segmentation of a string under a unigram model is the largest sum of piece scores, and the forward scores of a
-prefix don't depend on what follows. So the distinct pre-tokens of a task stand in a trie: the score of each node is
+prefix don't depend on what follows. So the distinct pre-tokens of a task stand in a trie (of long ones the first bytes): the score of each node is
 computed once, however many pre-tokens share it, and the node where a pre-token ends keeps its number of tokens.
 """
 
@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corvane.llm.bpe import read_ranks
+from corvane.session import give_back, workers_can_import
 
 #: Nodes of a worker's trie; beyond, it is cut down to the root and grows again. Results don't depend on it.
-MOST_NODES = 1_200_000
+MOST_NODES = 1_000_000
+#: Bytes of a pre-token that stand in the trie. What is behind them is computed for that pre-token alone, and only the scores
+#: that a piece can reach back to are held, so a text without a single space takes no more memory than its bytes.
+STORED = 64
 
 
 def scores_by_rank(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -40,6 +44,7 @@ class ForwardTrie:
         for piece, s in scores.items():
             self.pieces.add_word(piece.decode("latin-1"), (len(piece) - 1, s))
         self.pieces.make_automaton()
+        self.longest = max(map(len, scores))
         self.root: list = [0.0, 0, None]
         self.nodes = 0
         self.computed = 0
@@ -48,6 +53,11 @@ class ForwardTrie:
         """Tokens and score of the best segmentation."""
         if self.nodes > MOST_NODES:
             self.root, self.nodes = [0.0, 0, None], 0
+        path = self._path(word[:STORED])
+        return self._beyond(word, path) if len(word) > STORED else (path[-1][1], path[-1][0])
+
+    def _path(self, word: bytes) -> list:
+        """The nodes of a word from the root."""
         node, path = self.root, [self.root]
         for b in word:
             node = node[2].get(b) if node[2] else None
@@ -70,7 +80,32 @@ class ForwardTrie:
             self._grow(path, word, at, best, fewest)
             if len(path) <= len(word):
                 raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
-        return path[-1][1], path[-1][0]
+        return path
+
+    def _beyond(self, word: bytes, path: list) -> tuple[int, float]:
+        """What count() gives, from the nodes of the first bytes on, with a ring of the last scores."""
+        size = self.longest + 1
+        score, tokens = [-math.inf] * size, [0] * size
+        for k in range(max(0, STORED + 1 - size), STORED + 1):
+            score[k % size], tokens[k % size] = path[k][0], path[k][1]
+        skip = max(0, STORED - self.longest)
+        done, best, fewest = STORED, -math.inf, 0
+        for end, (back, s) in self.pieces.iter(word[skip:].decode("latin-1")):
+            end += skip
+            if end < STORED or end - back < skip:
+                continue
+            if end > done:
+                if end > done + 1 or best == -math.inf:
+                    break
+                done += 1
+                score[done % size], tokens[done % size], best = best, fewest, -math.inf
+            k = (end - back) % size
+            s += score[k]
+            if s > best or (s == best and tokens[k] + 1 < fewest):
+                best, fewest = s, tokens[k] + 1
+        if done < len(word) - 1 or best == -math.inf:
+            raise ValueError(f"no piece ends at byte {word[done]}")
+        return fewest, best
 
     def _grow(self, path: list, word: bytes, at: int, score: float, tokens: int) -> None:
         if at != len(path) - 1 or score == -math.inf:
@@ -89,14 +124,14 @@ class ForwardTrie:
 class Counter(dict):
     """Pre-token to its terminal count and score, as one complex number so that a text's are summed in one go."""
 
-    MOST = 400_000
+    MOST = 300_000
 
     def __init__(self, path: str, pattern: str):
         self.trie, self.split = ForwardTrie(scores_by_rank(read_ranks(path))), regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> complex:
         found = complex(*self.trie.count(piece.encode()))
-        if len(self) < self.MOST:
+        if len(self) < self.MOST and len(piece) <= STORED:
             self[piece] = found
         return found
 
@@ -108,23 +143,26 @@ class Counter(dict):
         return len(pieces), int(total.real), total.imag
 
 
-_COUNTERS: dict[tuple[str, str], Counter] = {}
 COUNTS = StructType([StructField("n_pretokens", LongType()), StructField("n_tokens", LongType()), StructField("log_prob", DoubleType())])
 
 
 def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_pretokens, n_tokens and log_prob of the best unigram segmentation of its whole text.
 
-    `path` is a vocabulary of ranks, from which the piece scores follow by Zipf's law. Each worker keeps its own trie, so there is no
+    `path` is a vocabulary of ranks, from which the piece scores follow by Zipf's law. Each task keeps its own trie, so there is no
     shuffle. Null and empty texts count nothing; null and repeated ids are rows of their own; other columns are ignored.
     """
 
+    workers_can_import(docs.sparkSession)
+
     @F.pandas_udf(COUNTS)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if (path, pattern) not in _COUNTERS:
-            _COUNTERS[path, pattern] = Counter(path, pattern)
-        c = _COUNTERS[path, pattern]
+        c = Counter(path, pattern)
         for s in texts:
             yield pd.DataFrame([c.of(t) for t in s], columns=COUNTS.names, index=s.index)
+        # a worker process lives on and shares the executor's memory
+        c.clear()
+        c.trie.__dict__.clear()
+        give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("x")).select("doc_id", "x.*")

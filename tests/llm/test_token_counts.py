@@ -1,4 +1,5 @@
 import math
+import resource
 
 import public_tokenizers
 import regex
@@ -51,3 +52,22 @@ def test_query_columns(spark, sf, monkeypatch):
     monkeypatch.setattr(token_counts, "MOST_NODES", 5)
     t = token_counts.ForwardTrie(SCORES)
     assert [t.count(w) for w in (b"alpha", b"beta", b"alphabet")] == [viterbi(w) for w in (b"alpha", b"beta", b"alphabet")]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="theringaond", min_size=60, max_size=400))
+def test_long_words_beyond_what_the_trie_stores(text):
+    t = token_counts.ForwardTrie(SCORES)
+    n, s = viterbi(text.encode())
+    got = t.count(text.encode())
+    assert got[0] == n and abs(got[1] - s) < 1e-9 and t.nodes <= token_counts.STORED
+
+
+def test_ten_megabytes_without_a_space():
+    c = token_counts.Counter(PATH, public_tokenizers.PATTERN)
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(100_000)) * 100
+    c.of("warm up")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pretokens, tokens, _ = c.of(text)
+    assert pretokens == 1 and 10_000_000 / c.trie.longest < tokens < 10_000_000 and len(c) < 5
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000  # KB
