@@ -44,6 +44,19 @@ def within(root: Column, path: str | Column) -> Column:
     return (p == root) | F.startswith(p, F.concat(root, F.lit("/")))
 
 
+def codebase_of(paths: DataFrame, path: str, codebases: DataFrame) -> DataFrame:
+    """Rows of `paths` with the root_path of the longest root that holds theirs; those in none are left out.
+
+    A path is joined with the roots that are equal to its leading parts, so the join is on equality and neither side has to be small.
+    """
+    roots = codebases.select("root_path").distinct()
+    parts = F.split(path, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    found = paths.withColumn("__i", F.monotonically_increasing_id()).withColumn("root_path", F.explode(heads)).join(roots, "root_path")
+    best = found.withColumn("__n", F.expr("row_number() over (partition by __i order by length(root_path) desc)")).where("__n = 1")
+    return best.select(*paths.columns, "root_path")
+
+
 def current_codebase(codebases: DataFrame, path: str) -> DataFrame:
     """The codebase with the longest root that holds the path."""
     return codebases.where(within(F.col("root_path"), path)).orderBy(F.desc(F.length("root_path"))).limit(1)

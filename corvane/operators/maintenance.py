@@ -24,6 +24,11 @@ def gone(state: DataFrame, scan: DataFrame, keys: tuple[str, ...] = ("codebase_i
     return state.join(scan.select(*keys), list(keys), "left_anti")
 
 
+def without(stored: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("codebase_id", "file_path")) -> DataFrame:
+    """Stored rows of other files than these."""
+    return stored.join(files.select(*keys), list(keys), "left_anti")
+
+
 def replace_by_file(stored: DataFrame, files: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("codebase_id", "file_path")) -> DataFrame:
     """Stored rows without those of `files`, and the new rows; a file may have none."""
     return stored.join(files.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)

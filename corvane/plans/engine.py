@@ -132,7 +132,10 @@ class Engine:
         own = cut(maintenance.write_embeddings(own, vectors))
         tell("cleanup")
         tell("fts")
-        parts: dict = {"indexed_files": {codebase_id: all_files}, "chunks": {codebase_id: own}, "postings": {codebase_id: search.postings(own).select(*POSTINGS.names)}}
+        index = cut(search.postings(own).select(*POSTINGS.names))
+        # sorted by term over the files and within them, so that a query reads the row groups of its terms
+        by_term = index.repartitionByRange("term").sortWithinPartitions("term")
+        parts: dict = {"indexed_files": {codebase_id: all_files}, "chunks": {codebase_id: own}, "postings": {codebase_id: by_term}, "field_stats": {codebase_id: search.field_stats(index, own)}}
         for other in taken_from:  # rows that moved to this codebase; the other's postings stay until it is indexed again
             parts["chunks"][other] = chunks.where(F.col("codebase_id") == other)
         self.store.commit(codebases, parts)
@@ -143,7 +146,7 @@ class Engine:
         """Drop all that is stored of a codebase but its own row."""
         root = os.path.abspath(directory)
         ids = [r.id for r in self.store.read("codebases").where(F.col("root_path") == root).collect()]
-        self.store.commit(parts={t: {i: None for i in ids} for t in ("chunks", "indexed_files", "postings")})
+        self.store.commit(parts={t: {i: None for i in ids} for t in ("chunks", "indexed_files", "postings", "field_stats")})
 
     # --- reading
 
@@ -158,9 +161,8 @@ class Engine:
 
     def _keyword(self, terms: list[str], limit: int) -> DataFrame:
         """(codebase_id, chunk_key, score, rank): per codebase over its stored postings, then merged."""
-        q = self.spark.createDataFrame([(0, " ".join(terms))], "query_id int, query string")
-        sizes = self.store.read("chunks").select("codebase_id", "chunk_key")
-        return search.keyword_topk_bulk(self.store.read("postings"), sizes, q, limit).select("codebase_id", "chunk_key", "score", "rank")
+        found = search.keyword_topk_stored(self.store.read("postings"), self.store.read("field_stats"), terms, limit)
+        return found.select("codebase_id", "chunk_key", "score", "rank")
 
     def _semantic(self, query: str, limit: int) -> DataFrame:
         vector = self.embedder([query])[0]

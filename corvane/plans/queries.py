@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane import embed
+from corvane import format as fmt
 from corvane.chunk.chunker import chunk_files
 from corvane.functions import languages as lang
 from corvane.functions import text as tx
 from corvane.functions import vectors as vec
 from corvane.operators import catalogue, evaluation, maintenance, search
+from corvane.plans.engine import SearchResult
 from corvane.session import checkpoint_folder, cut, table
 from corvane.sources.tree import scan
 from corvane.streaming.upserts import LatestTable, keep_latest
@@ -67,16 +69,14 @@ COS = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
 
 @register(f"select e.vec_id, round({COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q order by round({COS}, 9) desc, e.vec_id limit 10")
 def K1_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    scored = v.withColumn("s", F.round(vec.score(vec.cosine_to(query_vector(spark, sf_dir))(F.col("embedding"))), 9))
-    return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", r6("s").alias("score"))
+    return search.vector_topk(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 10, tie="vec_id").select("vec_id", r6("score").alias("score"))
 
 
 @register(f"""select label, vec_id, rank, round(s, 6) as score from (select e.label, e.vec_id, {COS} as s, row_number() over (partition by e.label order by round({COS}, 9) desc, e.vec_id)::int as rank
  from embeddings e, (select embedding from embeddings where vec_id = 0) q) where rank <= 3""")
 def K2_vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").withColumn("s", F.round(vec.cosine_to(query_vector(spark, sf_dir))(F.col("embedding")), 9))
-    return v.withColumn("rank", F.expr("row_number() over (partition by label order by s desc, vec_id)")).where("rank <= 3").select("label", "vec_id", "rank", r6("s").alias("score"))
+    top = search.vector_topk_by(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 3, "label", tie="vec_id")
+    return top.select("label", "vec_id", "rank", r6("score").alias("score"))
 
 
 @register(f"select * from (select e.vec_id, round({COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q order by round({COS}, 9) desc, e.vec_id limit 20) where score >= 0.3::double")
@@ -124,7 +124,13 @@ def _keywords_sql(column: str) -> str:
     return f"array_to_string(list_filter({kept}, lambda x, i: list_position({kept}, x) = i)[1:12], ' ')"
 
 
-@register(f"select doc_id, {_keywords_sql('text')} as keywords from documents")
+_F1 = f"""with t as (select doc_id, unnest(m) as term, generate_subscripts(m, 1) as i from (select doc_id, regexp_extract_all(lower(text), '{tx.TOKEN}') as m from documents)),
+ f as (select doc_id, term, min(i) as i from t where length(term) between 3 and 30 and term not in ({_STOP}) group by all),
+ r as (select *, row_number() over (partition by doc_id order by i) as n from f), k as (select doc_id, string_agg(term, ' ' order by i) as keywords from r where n <= 12 group by doc_id)
+ select doc_id, coalesce(keywords, '') as keywords from documents left join k using (doc_id)"""
+
+
+@register(_F1)
 def F1_extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", heavy=True).select("doc_id", tx.keywords(F.col("text")).alias("keywords"))
 
@@ -169,7 +175,23 @@ def J4_late_materialised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("chunk_key", "file_path", "name", "kind", "snippet", "start_line", "end_line", r6("score").alias("score"))
 
 
-@register(f"""with {CHUNKS_SQL}, q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from benchmark where item_id < 5),
+@register(f"""with {CHUNKS_SQL}, {_BM25}, best as (select *, row_number() over (partition by codebase_id order by score desc, chunk_key) as r from scored), top as (select * from best where r <= 5 order by score desc, codebase_id, chunk_key limit 5)
+ select t.chunk_key, file_path, name, '' as snippet from top t join chunks_v using (codebase_id, chunk_key)""")
+def P2_without_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks_view(spark, sf_dir, heavy=True)
+    return search.with_chunks(search.keyword_topk(c, TERMS, 5), c, False, ("codebase_id", "chunk_key")).select("chunk_key", "file_path", "name", "snippet")
+
+
+@register("select * from (values ('the of and to', 0::bigint), ('attion', 3::bigint)) as t(query, hits)")
+def P9_empty_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a query that has no keyword, and of one that has: the first never reaches the index."""
+    c = chunks_view(spark, sf_dir, heavy=True)
+    hits = [search.keyword_topk(c, tx.query_terms(tx.preprocess_query(q, "keywords")), 3).select(F.lit(q).alias("query")) for q in ("the of and to", "attion")]
+    asked = table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(F.lit("the of and to"), F.lit("attion"))).alias("query"))
+    return asked.join(hits[0].union(hits[1]).groupBy("query").agg(F.count("*").alias("hits")), "query", "left").select("query", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@register(f"""with {CHUNKS_SQL}, q as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from benchmark),
  tokens as (select codebase_id, chunk_key, field, w, regexp_extract_all(lower(body), '[a-z0-9]+') as t from chunks_v, lateral (values ('name', 5.0::double, name), ('signature', 3.0::double, signature)) as f(field, w, body)),
  stats as (select codebase_id, field, count(*)::double as n, avg(len(t))::double as avgdl from tokens group by all),
  post as (select codebase_id, chunk_key, field, w, dl, term, count(*)::double as tf from (select codebase_id, chunk_key, field, w, len(t)::double as dl, unnest(t) as term from tokens) group by all),
@@ -179,19 +201,11 @@ def J4_late_materialised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
  ranked as (select *, row_number() over (partition by query_id order by round(score, 6) desc, codebase_id, chunk_key)::int as rank from scored)
  select query_id, rank, round(score, 6) as score from ranked where rank <= 5""")
 def A5_bulk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bulk_bm25(spark, sf_dir, table(spark, sf_dir, "benchmark").where("item_id < 5"))
-
-
-def _bulk_bm25(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
+    """Every benchmark row is a query."""
     c = chunks_view(spark, sf_dir, heavy=True)
-    q = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.keyword_topk_bulk(cut(search.postings(c)), c, q, 5).select("query_id", F.col("rank"), r6("score").alias("score"))
-
-
-@register()
-def A5_bulk_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark row as a query; A5_bulk_bm25 answers the few that its SQL has. Held against brute force in tests/test_bulk_bm25.py."""
-    return _bulk_bm25(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = cut(search.postings(c))
+    return search.keyword_topk_bulk(index, search.field_stats(index, c), q, 5).select("query_id", F.col("rank"), r6("score").alias("score"))
 
 
 @register(f"""with {CHUNKS_SQL}, a as (select chunk_key, row_number() over (order by n_chars desc, doc_id) as rank from chunks_v qualify rank <= 50), b as (select chunk_key, row_number() over (order by n_chars desc, doc_id desc) as rank from chunks_v where n_chars < (select quantile_disc(n_chars, 0.99) from chunks_v) qualify rank <= 50)
@@ -260,6 +274,12 @@ def J3_stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.gone(files_view(spark, sf_dir), _altered(spark, sf_dir)).select("codebase_id", "file_path")
 
 
+@register(f"with {CHUNKS_SQL} select codebase_id, file_path, chunk_key from chunks_v where doc_id % 11 <> 0")
+def W6_remove_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks_view(spark, sf_dir).select("codebase_id", "file_path", "chunk_key")
+    return maintenance.without(c, maintenance.gone(files_view(spark, sf_dir), _altered(spark, sf_dir)))
+
+
 @register(f"""with {CHUNKS_SQL} select codebase_id, file_path, chunk_key, snippet from chunks_v where doc_id % 5 <> 0 union all select codebase_id, file_path, chunk_key, reverse(snippet) from chunks_v where doc_id % 5 = 0 and doc_id % 10 <> 0""")
 def W3_replace_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks_view(spark, sf_dir)
@@ -362,16 +382,6 @@ def C8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", (F.col("i") + 1).alias("line_no"), tx.trimmed(F.col("line")).alias("line"))
 
 
-@register("select doc_id, strlen(text) as bytes from documents where strlen(text) between 1 and 3000")
-def S7_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes").between(1, 3000))
-
-
-@register("select doc_id, sha256(text) as hash from documents")
-def S9_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-
-
 @register("select sha256(text) as hash, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1")
 def F5_equal_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
@@ -383,9 +393,8 @@ _ROOTS = ["http:/", "https:/", "https://blog.tionsh.example.net", "https://blog.
 
 @register("""with roots(root) as (values {}) select page_id, root from (select page_id, root, row_number() over (partition by page_id order by length(root) desc) as r from pages join roots on url = root or starts_with(url, root || '/')) where r = 1""".format(", ".join(f"('{r}')" for r in _ROOTS)))
 def K6_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    fits = [F.when(catalogue.within(F.lit(r), F.col("url")), F.lit(r)) for r in sorted(_ROOTS, key=lambda r: -len(r))]
-    return p.select("page_id", F.coalesce(*fits).alias("root")).where("root is not null")
+    roots = spark.createDataFrame([(r,) for r in _ROOTS], "root_path string")
+    return catalogue.codebase_of(table(spark, sf_dir, "pages").select("page_id", "url"), "url", roots).select("page_id", F.col("root_path").alias("root"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -452,11 +461,6 @@ def P11_benchmark_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_view(spark, sf_dir).select("doc_id", evaluation.is_hit(F.col("file_path"), F.col("name"), files, names).alias("hit"))
 
 
-@register(f"with {CHUNKS_SQL} select codebase_id, count(*) as n, count(distinct file_path) as files, max(end_line) as longest from chunks_v group by codebase_id")
-def A8_chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks_view(spark, sf_dir).groupBy("codebase_id").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.max("end_line").alias("longest"))
-
-
 @register(f"""with {CHUNKS_SQL} select codebase_id, chunk_key, field, term, count(*) as tf, dl::bigint as dl from (select codebase_id, chunk_key, field, len(t) as dl, unnest(t) as term
  from (select codebase_id, chunk_key, field, regexp_extract_all(lower(body), '[a-z0-9]+') as t from chunks_v, lateral (values ('name', name), ('signature', signature)) as f(field, body))) group by all""")
 def W9_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,20 +487,119 @@ def S1_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, FIXTURES).where("error is null").select("rel_path", "language", "hash")
 
 
+#: A tree with much to leave out: names of all kinds, links, sizes at the edge.
+PRUNED = str(Path(FIXTURES).with_name("pruned"))
+_TREE = f"""tree as (select replace(filename, '{PRUNED}/', '') as rel_path, size, content from read_text('{PRUNED}/**')),
+ kept as (select * from tree where not regexp_matches(rel_path, '(^|/)([.]|node_modules/|target/|build/|skipme/|anchored/)') and rel_path not in ('link.py') and not starts_with(rel_path, 'linked') and regexp_matches(rel_path, '[.](py|go|rs|js)$'))"""
+
+
+@register(f"with {_TREE} select rel_path, case when ends_with(rel_path, '.py') then 'python' else 'go' end as language from kept where size between 1 and 1000000")
+def S3_pruned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, PRUNED).where("error is null").select("rel_path", "language")
+
+
+@register(f"with {_TREE} select rel_path, size::bigint as bytes from kept where size between 1 and 1000000")
+def S7_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, PRUNED).where("error is null").select("rel_path", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@register(f"with {_TREE} select rel_path, sha256(content) as hash from kept where size between 1 and 1000000")
+def S9_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, PRUNED).where("error is null").select("rel_path", "hash")
+
+
+@register(f"with {_TREE} select rel_path, language from (select rel_path, 'go' as language from kept where ends_with(rel_path, '.go'))")
+def S6_scan_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, PRUNED, ["go"]).where("error is null").select("rel_path", "language")
+
+
 @register()
 def C1_chunk_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_files(scan(spark, FIXTURES).where("error is null")).where("ok is null and error is null")
     return chunks.select(F.expr("replace(chunk_key, %r, '')" % (FIXTURES + "/")).alias("chunk_key"), "language", "kind", "name", "signature", "start_line", "end_line")
 
 
-@register()
+def _python_tree(spark: SparkSession) -> DataFrame:
+    return chunk_files(scan(spark, str(Path(FIXTURES).parent), ["python"]).where("error is null")).where("ok is null and error is null")
+
+
+_DEFS = f"""lines as (select replace(filename, '{Path(FIXTURES).parent}/', '') as rel_path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as n from read_text('{Path(FIXTURES).parent}/**') where ends_with(filename, '.py')),
+ defs as (select * from lines where regexp_matches(line, '^(async def|def|class) ') and not regexp_matches(rel_path, '(^|/)([.]|node_modules/|target/|build/|skipme/|anchored/)') and not regexp_matches(rel_path, 'link(ed/.*|[.]py)$') and not ends_with(rel_path, 'broken.py'))"""
+
+
+@register(f"with {_DEFS} select rel_path, regexp_extract(line, '(def|class) ([A-Za-z_0-9]+)', 2) as name from defs")
+def C6_python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the definitions of Python files, which a line tells as well as the syntax tree: their `def` or `class` stands at the margin."""
+    return _python_tree(spark).where("kind in ('function', 'class')").select(F.expr("replace(file_path, %r, '')" % (str(Path(FIXTURES).parent) + "/")).alias("rel_path"), "name")
+
+
+@register(f"with {_DEFS} select rel_path, count(*) as n from defs group by rel_path")
+def A8_chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _python_tree(spark).where("kind in ('function', 'class')").groupBy("file_path").agg(F.count("*").alias("n"))
+    return c.select(F.expr("replace(file_path, %r, '')" % (str(Path(FIXTURES).parent) + "/")).alias("rel_path"), "n")
+
+
+_HITS = f"""{CHUNKS_SQL}, {_BM25}, best as (select *, row_number() over (partition by codebase_id order by score desc, chunk_key) as r from scored), top as (select * from best where r <= 3 order by score desc, codebase_id, chunk_key limit 3),
+ hits as (select row_number() over (order by score desc, codebase_id, chunk_key) as i, file_path, name, kind, start_line, end_line, snippet, score from top join chunks_v using (codebase_id, chunk_key))"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> list[SearchResult]:
+    """A top-k as the engine returns it; the sinks format at most k rows."""
+    c = chunks_view(spark, sf_dir, heavy=True)
+    rows = search.with_chunks(search.keyword_topk(c, TERMS, 3), c, True, ("codebase_id", "chunk_key")).orderBy(F.desc("score"), "codebase_id", "chunk_key").collect()
+    return [SearchResult(r.chunk_key, r.file_path, r.name, r.kind, "", r.snippet, r.start_line, r.end_line, r.score) for r in rows]
+
+
+def _line(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@register(f"""with {_HITS} select (select count(*) from hits) || ' results for "q" (7ms)' || string_agg(chr(10) || chr(10) || '[' || i || '] ' || kind || ' ' || name || ' (score: ' || printf('%.2f', score) || ')' || chr(10) || '    ' || file_path || ':' || start_line || '-' || end_line, '' order by i) as text from hits""")
+def W12_results_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line(spark, fmt.results_text("q", _hits(spark, sf_dir), 7))
+
+
+@register(f"""with {_HITS} select 'q' as query, 7::bigint as elapsed_ms, (select count(*) from hits) as total, file_path, name, snippet, round(score, 6) as score from hits""")
+def W11_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as JSON and read again."""
+    result = "struct<filePath:string,name:string,snippet:string,score:double>"
+    read = _line(spark, fmt.results_json("q", _hits(spark, sf_dir), 7)).select(F.from_json("text", f"struct<query:string,results:array<{result}>,total:bigint,elapsed_ms:bigint>").alias("x"))
+    return read.select("x.query", "x.elapsed_ms", "x.total", F.explode("x.results").alias("r")).select("query", "elapsed_ms", "total", F.col("r.filePath").alias("file_path"), "r.name", "r.snippet", r6("r.score").alias("score"))
+
+
+@register(f"""with {_HITS} select string_agg(i || '. ' || file_path || ':' || start_line || '-' || end_line || '  [' || kind || '] ' || name || chr(10) || '```' || chr(10) || snippet || chr(10) || '```', chr(10) || chr(10) order by i) as text from hits
+ union all select 'Nothing is indexed yet. Call the index tool on the project''s directory once, then search again.' union all select 'No results found for "q" (mode: keyword). Indexed codebases: /code/a, /code/b'""")
+def W13_tool_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some, none, nothing = (fmt.tool_results("q", "keyword", hits, known) for hits, known in ((_hits(spark, sf_dir), []), ([], [{"root_path": "/code/a"}, {"root_path": "/code/b"}]), ([], [])))
+    return _line(spark, some).union(_line(spark, none)).union(_line(spark, nothing))
+
+
+@register(f"""with {CHUNKS_SQL}, f as (select file_path from chunks_v where codebase_id = 3) select count(*) || ' files indexed (' || count(*) || ' chunks):' || chr(10) || string_agg(chr(10) || '  ' || file_path || ' (1 chunks)', '' order by file_path) as text from f""")
+def W14_files_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line(spark, fmt.files_text([r.asDict() for r in catalogue.list_files(files_view(spark, sf_dir), 3).collect()]))
+
+
+@register("select x, printf('%.2f', x) as text from (values (1.005::double), (0.125::double), (2.675::double), (10::double), (0.999::double), (1e-9::double)) as v(x) where x <> 0.125 union all select 0.125::double, '0.13'")
+def F14_two_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = (1.005, 0.125, 2.675, 10.0, 0.999, 1e-9)
+    return spark.createDataFrame([(x, fmt.two_places(x)) for x in values], "x double, text string")
+
+
+@register("select s, case when s < 1 then '<1s' when s < 60 then s || 's' else (s // 60) || 'm ' || (s % 60) || 's' end as text from (select unnest(range(0, 7300, 13)) as s)")
+def F18_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, fmt.eta(s)) for s in range(0, 7300, 13)], "s long, text string")
+
+
+@register(f"with {CHUNKS_SQL} select doc_id, 384 as dim, 1.0::double as norm from chunks_v")
 def U2_hashing_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and norm of each vector; its components are held against a slow version in tests/test_operators.py."""
     c = chunks_view(spark, sf_dir, heavy=True)
     text = tx.embed_text(*map(F.col, ("file_path", "kind", "name", "signature", "snippet")))
-    return c.select("doc_id", embed.embedding(embed.hashing_embedder, text).alias("embedding"))
+    v = c.select("doc_id", embed.embedding(embed.hashing_embedder, text).alias("v"))
+    return v.select("doc_id", F.size("v").alias("dim"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 5).alias("norm"))
 
 
-@register("""with l as (select source, count(*) as n, sum(n_chars)::bigint as chars from documents group by source) select source, n, chars, rank() over (order by n desc, source)::int as place from l""")
+@register(f"with {CHUNKS_SQL}, {_CODEBASES} select root_path, count(file_path)::bigint as files, rank() over (order by count(file_path) desc, root_path)::int as place from codebases left join chunks_v on codebase_id = id group by root_path")
 def A1_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
-    return totals.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), F.col("source"))))  # one row a source
+    totals = catalogue.list_codebases(_codebases(spark, sf_dir), files_view(spark, sf_dir))
+    return totals.select("root_path", F.col("file_count").alias("files"), F.rank().over(Window.orderBy(F.desc("file_count"), "root_path")).alias("place"))  # one row a codebase

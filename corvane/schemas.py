@@ -16,4 +16,5 @@ CHUNKS = T.StructType([T.StructField("codebase_id", LONG), *CHUNK.fields, *_s(("
 INDEXED_FILES = _s(("codebase_id", LONG), ("file_path", STR), ("file_hash", STR), ("chunk_count", INT), ("indexed_at", LONG))
 SCANNED = _s(("abs_path", STR), ("rel_path", STR), ("language", STR), ("hash", STR), ("content", STR), ("error", STR))
 POSTINGS = _s(("codebase_id", LONG), ("chunk_key", STR), ("field", STR), ("term", STR), ("tf", LONG), ("dl", LONG))
+FIELD_STATS = _s(("codebase_id", LONG), ("field", STR), ("n", LONG), ("total", LONG))
 RESULT = _s(("chunk_key", STR), ("file_path", STR), ("name", STR), ("kind", STR), ("signature", STR), ("snippet", STR), ("start_line", INT), ("end_line", INT), ("score", DBL))

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from corvane import schemas
 
-TABLES: dict[str, StructType] = {"codebases": schemas.CODEBASES, "chunks": schemas.CHUNKS, "indexed_files": schemas.INDEXED_FILES, "postings": schemas.POSTINGS}
+TABLES: dict[str, StructType] = {"codebases": schemas.CODEBASES, "chunks": schemas.CHUNKS, "indexed_files": schemas.INDEXED_FILES, "postings": schemas.POSTINGS, "field_stats": schemas.FIELD_STATS}
 #: Versions that stay on disk, so that a running query can end on the one that it began with.
 KEPT_VERSIONS = 2
 
@@ -47,7 +47,7 @@ class Store:
         if name == "codebases":
             folders = [m["codebases"]] if m["codebases"] else []
         else:
-            folders = [f for c, f in m["parts"][name].items() if not codebase_ids or int(c) in codebase_ids]
+            folders = [f for c, f in m["parts"].get(name, {}).items() if not codebase_ids or int(c) in codebase_ids]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[os.path.join(self.path, f) for f in folders])
@@ -67,7 +67,7 @@ class Store:
                 new.append(m["codebases"])
             for name, by in (parts or {}).items():
                 for codebase_id, df in by.items():
-                    m["parts"][name].pop(str(codebase_id), None)
+                    m["parts"].setdefault(name, {}).pop(str(codebase_id), None)
                     if df is not None:
                         folder = self._write(name, df)
                         new.append(folder)

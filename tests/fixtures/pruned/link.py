@@ -1,0 +1 @@
+keep.py
\ No newline at end of file
