@@ -196,7 +196,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """A row a document (doc_id, h, base, opaque, held, words, bands), and (word, docs) of the whole corpus: in how many different texts a word stands.
+    """A row a document (doc_id, h, base, opaque, held, words, bands), and parts (word, copies, docs) of the number of texts in which each word of the corpus stands, see texts_with().
 
     One pass over the texts for their hashes, and one with how many copies each has. The copies of a text hold the same words,
     so their count, divided by the number of copies, is that of different texts; no text is shuffled unless copied ones are many.
@@ -206,8 +206,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     copied = cut(texts.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
     counted = texts.join(sized(copied, 16), "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     found = cut(counted.mapInArrow(_scan, SCANNED))
-    words = found.where("word is not null").groupBy("word", "copies").agg(F.sum("docs").alias("docs")).select("word", F.expr("docs div copies").alias("docs"))
-    return found.where("base is not null").select("doc_id", "h", "base", "opaque", "held", "words", "bands"), words
+    return found.where("base is not null").select("doc_id", "h", "base", "opaque", "held", "words", "bands"), found.where("word is not null").select("word", "copies", "docs")
+
+
+def texts_with(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, n_word): in how many different texts the words in `asked` stand. Those not asked for, nearly all, are dropped before anything is shuffled."""
+    own = words.join(sized(cut(asked), 8), "word", "left_semi").groupBy("word", "copies").agg(F.sum("docs").alias("docs"))
+    return own.groupBy("word").agg(F.sum(F.expr("docs div copies")).alias("n_word"))
 
 
 def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float, removal: float, support: int) -> DataFrame:
@@ -222,7 +227,7 @@ def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float,
     pairs = own.join(texts.select("h", "words"), "h").join(classes, "h").select("h", "value", "n_value", "component", F.explode("words").alias("word"))
     ties = pairs.groupBy("value", "n_value", "word", "component").agg(F.count("*").alias("n")).groupBy("value", "n_value", "word").agg(F.sum("n").alias("both"), F.count("*").alias("classes")).where(F.col("classes") >= support)
     ties = cut(ties)
-    n_word = words.join(ties.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("docs").alias("n_word"))
+    n_word = texts_with(words, ties.select("word").distinct())
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_value") * F.col("n_word")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
     told = cut(ties.join(n_word, "word").withColumn("told", pmi / F.greatest(ic, F.lit(1e-9))).where((F.col("told") >= threshold) & (ic > 0)).select("value", "word", (F.col("told") >= removal).alias("remove")))
@@ -233,8 +238,8 @@ def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float,
 def common_strings(found: DataFrame, words: DataFrame, total: int, identifying: float) -> list[int]:
     """Opaque strings in too many different texts to identify. Each is in more than total^(1 - identifying) texts, so they are few: about the root of their number."""
     strings = found.where(F.size("opaque") > 0).select(F.explode("opaque.word").alias("word")).distinct()
-    n = words.join(strings, "word", "left_semi").groupBy("word").agg(F.sum("docs").alias("n"))
-    return sorted(r.word for r in n.where(F.col("n") > float(max(total, 1)) ** (1 - identifying)).select("word").collect())
+    n = texts_with(words, strings)
+    return sorted(r.word for r in n.where(F.col("n_word") > float(max(total, 1)) ** (1 - identifying)).select("word").collect())
 
 
 def term_spans(text: str, terms: list | None, common: frozenset[int]) -> list[tuple[int, int, int, bool]]:
