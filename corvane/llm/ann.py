@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.vectors import dots, matrix, usable
+from corvane.session import workers_can_import
 
 #: Queries and candidates of a cell, on average, and candidates of a tile.
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 2048, 8192, 2048
@@ -77,6 +78,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     null, zero or have null or non-finite components, and rows without an id, take no part; vectors of another length aren't
     compared. Rows equal in id and vector are one query. Fewer than k candidates: all of them. Other columns are ignored.
     """
+    workers_can_import(vectors.sparkSession)
     query = "__query"
     v = vectors.withColumn(query, F.coalesce(queries, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), query).where(F.col("id").isNotNull() & usable("v"))
     # equal rows become one with a count, so blocks by hash are even whatever repeats

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from corvane.session import give_back
+from corvane.session import give_back, workers_can_import
 
 #: Distinct pre-tokens, and token pairs, that a worker remembers in a young and an old generation each: a full young one becomes the
 #: old one, from which what is met again comes back. So the frequent ones stay. Results don't depend on it.
@@ -243,6 +243,7 @@ def ids_of(e: TextEncoder, texts: pa.Array) -> pa.ListArray:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with a column of token ids. Null and empty texts have no ids; all columns of `docs` stay but one named `ids_col`."""
+    workers_can_import(docs.sparkSession)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -258,6 +259,7 @@ CHECKED = StructType([StructField("ids", ArrayType(IntegerType())), StructField(
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", check_col: str = "round_trip", remembered: int = REMEMBERED) -> DataFrame:
     """`encode`, and whether the ids decode to the text's bytes, in one pass. remembered: as REMEMBERED, less where workers share little memory."""
+    workers_can_import(docs.sparkSession)
 
     @F.arrow_udf(CHECKED)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -277,6 +279,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """`encoded` with the text of its ids; bytes that aren't UTF-8 are replaced, null ids give null."""
+    workers_can_import(encoded.sparkSession)
 
     @F.arrow_udf(StringType())
     def of(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -296,6 +299,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     A row needs nothing of any other, so there is no shuffle. Null and empty texts have no tokens and the digest of the empty
     string; null and repeated ids are rows of their own; other columns are ignored.
     """
+    workers_can_import(docs.sparkSession)
 
     @F.arrow_udf(DIGEST)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

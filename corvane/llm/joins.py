@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a table's rows up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def sized(df: DataFrame, row: int | Column) -> DataFrame:

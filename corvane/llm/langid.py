@@ -8,16 +8,18 @@ and training texts put together for long ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from corvane.session import give_back
+from corvane.llm.joins import sized
+from corvane.session import give_back, workers_can_import
 
 BITS = 12
 DIM = 1 << BITS
@@ -107,13 +109,14 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _nearest(m: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and largest cosine of each row."""
-    own = [counts[k : k + 1024] for k in range(0, len(counts), 1024)]
-    return np.concatenate([_bucket((c > 0).sum(1)) for c in own]), np.concatenate([(m.vectors(c) @ m.centroids.T).max(1) for c in own])
+def _nearest(m: Model, counts: np.ndarray | Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and largest cosine of each row; the rows may come in portions."""
+    own = [counts[k : k + 1024] for k in range(0, len(counts), 1024)] if isinstance(counts, np.ndarray) else counts
+    found = [(_bucket((c > 0).sum(1)), (m.vectors(c) @ m.centroids.T).max(1)) for c in own if len(c)]
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, int), np.zeros(0, np.float32))
 
 
-def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float = 0.4, short: np.ndarray | None = None) -> Model:
+def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float = 0.4, short: np.ndarray | Iterable[np.ndarray] | None = None) -> Model:
     """clusters: centroids a language. slack: a text is rejected below this share of the lowest cosine of training texts as varied.
 
     short: counts of pieces of training texts. Where fewer than 5 training texts are as varied, pieces and sums of 2, 4, 8, ...
@@ -123,13 +126,14 @@ def train(labels: list[str], counts: np.ndarray, clusters: int = 3, slack: float
     if not languages:
         return Model([], np.ones(DIM), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(_BUCKETS))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
+    number_of = {v: i for i, v in enumerate(languages)}
     m = Model(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(_BUCKETS))
-    x, y = m.vectors(counts), np.array([languages.index(v) for v in labels])
+    x, y = np.concatenate([m.vectors(counts[k : k + 1024]) for k in range(0, len(counts), 1024)]), np.array([number_of[v] for v in labels])
     own = [_kmeans(x[y == i], clusters) for i in range(len(languages))]
     m.centroids, m.language_of = np.concatenate(own).astype(np.float32), np.repeat(np.arange(len(languages)), list(map(len, own)))
     sums = [counts[y == i][:n].sum(0) for i in range(len(languages)) for n in 2 ** np.arange(1, 1 + int(np.log2((y == i).sum())))]
     known = [_nearest(m, counts)]
-    known.append(tuple(map(np.concatenate, zip(known[0], *[_nearest(m, np.stack(c)) for c in (sums, short) if c is not None and len(c)]))))
+    known.append(tuple(map(np.concatenate, zip(known[0], *([_nearest(m, np.stack(sums))] if sums else []), *([_nearest(m, short)] if short is not None else [])))))
     filled = []
     for b in range(_BUCKETS):
         for (at, best), enough, low in zip(known, (5, 1), (0, 0.01)):  # pieces may be names or junk, so a few are left out
@@ -147,18 +151,19 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 400, clusters: int = 3, slack: float = 0.4) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 400, sample_total: int = 8000, clusters: int = 3, slack: float = 0.4) -> Model:
     """A model of the rows with a language that aren't held out.
 
     sample_per_language bounds the fit: about so many rows of each language (at most one and a half times), chosen by a hash
-    of their id, are turned into counts on the executors and fitted on the driver. Null or letterless texts teach nothing.
+    of their id, are turned into counts on the executors and fitted on the driver; with many languages fewer of each, so that about
+    sample_total rows are fitted in all, or one a language. Null or letterless texts teach nothing.
     """
+    workers_can_import(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("h"))
     n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, count in sorted(n.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, sample_per_language / count)).otherwise(share)
-    chosen = known.where((F.pmod("h", F.lit(1 << 32)) / float(1 << 32) < share))
+    most = max(1, min(sample_per_language, sample_total // max(1, len(n))))
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(n), pa.string()), "share": pa.array([min(1.0, most / c) for c in n.values()], pa.float64())}))
+    chosen = known.join(sized(shares, 96), "lang").where(F.pmod("h", F.lit(1 << 32)) / float(1 << 32) < F.col("share")).drop("share")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -185,11 +190,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             parts.append((at, c))
             continue
         seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= 1.5 * sample_per_language:
+        if seen[lang] <= 1.5 * most:
             labels.append(lang)
             counts.append(dense(at, c))
-    stack = lambda rows: np.stack(rows) if rows else np.zeros((0, DIM), np.float32)
-    return train(labels, stack(counts), clusters, slack, stack([dense(*x) for x in parts]))
+    short = (np.stack([dense(*x) for x in parts[k : k + 1024]]) for k in range(0, len(parts), 1024))
+    return train(labels, np.stack(counts) if counts else np.zeros((0, DIM), np.float32), clusters, slack, short)
 
 
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
@@ -197,6 +202,7 @@ PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("sc
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A struct (lang_pred, score, rejected) of the whole text alone. The model is broadcast: languages x clusters x 16 KB."""
+    workers_can_import(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTION)

@@ -204,14 +204,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     workers_can_import(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     copied = cut(texts.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"))
-    counted = texts.join(sized(copied, 16), "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    counted = texts.join(sized(copied, 64), "h", "left").select("doc_id", "h", "text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     found = cut(counted.mapInArrow(_scan, SCANNED))
     return found.where("base is not null").select("doc_id", "h", "base", "opaque", "held", "words", "bands"), found.where("word is not null").select("word", "copies", "docs")
 
 
 def texts_with(words: DataFrame, asked: DataFrame) -> DataFrame:
     """(word, n_word): in how many different texts the words in `asked` stand. Those not asked for, nearly all, are dropped before anything is shuffled."""
-    own = words.join(sized(cut(asked), 8), "word", "left_semi").groupBy("word", "copies").agg(F.sum("docs").alias("docs"))
+    own = words.join(sized(cut(asked), 48), "word", "left_semi").groupBy("word", "copies").agg(F.sum("docs").alias("docs"))
     return own.groupBy("word").agg(F.sum(F.expr("docs div copies")).alias("n_word"))
 
 
@@ -220,8 +220,8 @@ def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float,
     values = found.where(F.size("held") > 0).select("h", F.explode("held").alias("value")).distinct()
     # a value of fewer texts than must be independent discloses nothing; these are nearly all, and only the others' words go on
     often = cut(values.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= support))
-    own = cut(values.join(sized(often, 16), "value").select("h", "value", "n_value"))
-    texts = cut(found.select("h", "words", "bands").join(sized(own.select("h").distinct(), 8), "h", "left_semi").dropDuplicates(["h"]))
+    own = cut(values.join(sized(often, 64), "value").select("h", "value", "n_value"))
+    texts = cut(found.select("h", "words", "bands").join(sized(own.select("h").distinct(), 48), "h", "left_semi").dropDuplicates(["h"]))
     # classes of texts that copying joins: those of a band hang together
     classes = connected_components(texts.select("h", F.explode("bands").alias("band")).select(F.col("h").alias("src"), F.col("band").alias("dst"))).withColumnRenamed("node", "h")
     pairs = own.join(texts.select("h", "words"), "h").join(classes, "h").select("h", "value", "n_value", "component", F.explode("words").alias("word"))
@@ -231,7 +231,7 @@ def disclosed(found: DataFrame, words: DataFrame, total: int, threshold: float,
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_value") * F.col("n_word")))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
     told = cut(ties.join(n_word, "word").withColumn("told", pmi / F.greatest(ic, F.lit(1e-9))).where((F.col("told") >= threshold) & (ic > 0)).select("value", "word", (F.col("told") >= removal).alias("remove")))
-    terms = pairs.join(sized(told, 17), ["value", "word"]).groupBy("h", "word").agg(F.max("remove").alias("remove"))
+    terms = pairs.join(sized(told, 64), ["value", "word"]).groupBy("h", "word").agg(F.max("remove").alias("remove"))
     return cut(terms.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("word", "remove"))).alias("terms")))
 
 
@@ -264,7 +264,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, r
 
 def with_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     """`docs` with a column __terms: what terms (h, terms) has for a text. Texts are shuffled only if the terms are too large to be broadcast."""
-    own = sized(terms, 8 + 9 * F.size("terms")).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    own = sized(terms, 64 + 24 * F.size("terms")).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
     return docs.join(own, F.xxhash64(docs[text_col]) == own["__h"], "left").drop("__h")
 
 
@@ -302,7 +302,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **meth
     alone = strings("opaque") if common else F.transform("opaque", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), x["end"].alias("end")))
     rows = rows.withColumn("own", alone)
     if again is not None:
-        a = sized(again, 8 + 12 * F.size("added"))
+        a = sized(again, 64 + 24 * F.size("added"))
         rows = rows.join(a, rows["h"] == a["__h"], "left").withColumn("own", F.coalesce("added", "own"))
     every = F.array_sort(F.concat("base", "own"))
     count = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(4)]

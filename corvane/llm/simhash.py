@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from corvane.llm.components import FOLDED, connected_components, fold_links
-from corvane.session import cut, give_back
+from corvane.llm.joins import sized
+from corvane.session import cut, give_back, workers_can_import
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE = np.arange(8, dtype=np.int64) * 256
-#: Row keys up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Fingerprints that share a variant and still meet in one place; more are cut into blocks, and every two blocks meet.
 HOT = 4096
 #: Shingles of which the hashes are held at once.
@@ -119,9 +118,8 @@ def link(fingerprints: DataFrame) -> DataFrame:
     if hot.isEmpty():
         pairs = _meet(v, v, ("key",), F.col("a") < F.col("b"))
     else:
-        few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        known = F.broadcast(hot) if few else hot
-        cold = v.join(known.select("key"), "key", "left_anti")
+        known = sized(hot, 64)
+        cold = v.join(sized(hot.select("key"), 64), "key", "left_anti")
         # block x meets block y once, for every x <= y, in a cell of its own
         w = v.join(known, "key").withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
         left = w.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence("own", F.col("blocks") - 1)))
@@ -151,6 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows of their own; a null id is passed over as smallest id (a component of null ids alone has component_id null);
     an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    workers_can_import(docs.sparkSession)
     own = cut(docs.select(F.col(id_col).alias("doc_id"), simhash64(F.col(text_col)).alias("fp")))
     return own.join(_grouped(own), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
@@ -160,6 +159,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows equal in id and text any one stays. An empty table gives an empty result.
     """
+    workers_can_import(docs.sparkSession)
     own = cut(docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), simhash64(F.col(text_col)).alias("fp")))
     of = own.join(_grouped(own.withColumnRenamed("i", "doc_id")).select("fp", "component"), "fp")
     key = F.struct(F.col("i").isNull().alias("none"), "i", "h")
@@ -168,8 +168,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select("__i", "__h")
-        few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(keys) if few else keys, rows[id_col].eqNullSafe(keys["__i"]) & (F.xxhash64(rows[text_col]) == keys["__h"]), how)
+        keys = sized(keys, 64)  # as it takes that much in a hash table
+        return rows.join(keys, rows[id_col].eqNullSafe(keys["__i"]) & (F.xxhash64(rows[text_col]) == keys["__h"]), how)
 
     out = among(docs, held.where("not stays"), "left_anti")
     twice = held.where("stays and times > 1")

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from corvane.session import workers_can_import
+
 #: (host, path, verdict): the longest that fits decides.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Globs for URLs that no rule fits: what isn't an article is blocked. Otherwise the verdict is allow.
@@ -123,6 +125,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, blocked: tuple = BLOCKED, id_c
     A row needs nothing of any other: no shuffle. Null urls and those without :// have an empty host and path, which no rule fits; null and
     repeated ids are rows of their own; other columns are ignored. Of rules of equal length that fit, the earlier in `rules` wins.
     """
+    workers_can_import(pages.sparkSession)
     order = sorted(range(len(rules)), key=lambda i: -len(rules[i][0] + rules[i][1]))
     globs = [f"*.{rules[i][0]}{rules[i][1]}**" for i in order] + list(blocked)
     n = len(order)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -62,3 +63,37 @@ def test_every_length_can_be_rejected():
     assert m.predict(foreign)[2].tolist() == [True] * len(foreign)
     own = [" ".join(d.text), *[t for i, t in zip(d.doc_id, d.text) if i % 50 == 0], "the thing of it"]
     assert not m.predict(own)[2].any()
+
+
+def test_against_a_slow_nearest_centroid(spark):
+    """Trigrams counted one by one, every cosine a sum over a dictionary."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = langid.fit(docs)
+    texts = [r.text for r in docs.collect()][:60] + ["Ä-ö 12 ß", "x", "the the", "нет", "e" * 5000, " \n", "12"]
+
+    def slow(text):
+        letters = "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.lower().encode())
+        padded = " " + " ".join(letters.split()) + (" " if letters.split() else "")
+        tf = {}
+        for k in range(len(padded) - 2):
+            a, b, c = map(ord, padded[k : k + 3])
+            at = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> (32 - langid.BITS)
+            tf[at] = tf.get(at, 0) + 1
+        v = {at: math.log(1 + n) * m.idf[at] for at, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        cosines = [sum(x * c[at] for at, x in v.items()) / norm for c in m.centroids.astype(float)]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        return m.languages[m.language_of[best]], cosines[best], cosines[best] < m.least[min(int(math.log2(len(tf) + 1)), len(m.least) - 1)]
+
+    lang, score, rejected = m.predict(texts)
+    for t, *got in zip(texts, lang, score, rejected):
+        want = slow(t) if any(map(str.isalpha, t)) else ("und", 0.0, True)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-5 and got[2] == want[2], t[:40]
+
+
+def test_many_dirty_languages(spark):
+    rows = [(k, f"some words of text number {k} {chr(97 + k % 26) * 3}", f"dirty{k}" if k % 3 else "en") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, sample_total=50)
+    assert len(m.languages) > 300 and len(m.centroids) <= 3 * len(m.languages)
+    assert langid.identify(df, sample_total=50).count() == 900

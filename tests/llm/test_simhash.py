@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from corvane.llm import components, joins, simhash
 from corvane.llm.components import connected_components, spanning_forest
 from corvane.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates
 
@@ -127,3 +128,14 @@ def test_one_row_of_each_component_stays(spark, sf):
         best[c] = min(best.get(c, (True, 0)), (i is None, i or 0))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(best.values())
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_dropped_documents_are_joined_by_a_shuffle(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs.limit(40)).selectExpr("*", "'x' as h")
+    want = sorted(map(str, simhash.drop_near_duplicates(docs).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(simhash, "HOT", 4)
+    monkeypatch.setattr(components, "WHOLE_LINKS", 0)
+    assert sorted(map(str, simhash.drop_near_duplicates(docs).collect())) == want
+    assert len(want) < docs.count()
