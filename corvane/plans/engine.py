@@ -23,6 +23,8 @@ MODES = ("semantic", "keyword", "hybrid")
 Progress = Callable[[str, int, int], None]
 #: A store larger than this that counts no chunks is taken to be damaged.
 SUSPICIOUS_BYTES = 1_000_000
+#: Chunks that are embedded before they are committed, on average.
+EMBED_ROUND = 100_000
 
 
 @dataclass
@@ -84,7 +86,8 @@ class Engine:
         """Bring a codebase up to date: only files whose content changed are chunked and embedded again; files no longer scanned go.
 
         With `languages`, files of other languages count as no longer scanned. A file that can't be chunked keeps what is stored of
-        it, and is tried again next time. All tables change in one commit.
+        it, and is tried again next time. All tables change in one commit; then chunks without a vector are embedded in rounds, each
+        committed, so that a run that dies loses one round, and the next one goes on where it stopped.
         """
         began, root, tell = time.monotonic(), os.path.abspath(directory), once_a_percent(progress)
         result = IndexResult()
@@ -124,14 +127,6 @@ class Engine:
         taken_from = [r.codebase_id for r in everything.where(F.col("codebase_id") != codebase_id).join(fresh.select("chunk_key"), "chunk_key", "left_semi").select("codebase_id").distinct().collect()]
         own = cut(chunks.where(F.col("codebase_id") == codebase_id))
 
-        stale = catalogue.stale(own, self.model)
-        text = embed_text(*map(F.col, ("file_path", "kind", "name", "signature", "snippet")))
-        vectors = cut(stale.select("chunk_key", embed.embedding(self.embedder, text).alias("embedding"), F.lit(self.model).alias("embedding_model")))
-        result.embedded = vectors.count()
-        tell("embed", result.embedded, result.embedded)
-        own = cut(maintenance.write_embeddings(own, vectors))
-        tell("cleanup")
-        tell("fts")
         index = cut(search.postings(own).select(*POSTINGS.names))
         # sorted by term over the files and within them, so that a query reads the row groups of its terms
         by_term = index.repartitionByRange("term").sortWithinPartitions("term")
@@ -139,9 +134,29 @@ class Engine:
         for other in taken_from:  # rows that moved to this codebase; the other's postings stay until it is indexed again
             parts["chunks"][other] = chunks.where(F.col("codebase_id") == other)
         self.store.commit(codebases, parts)
+        result.embedded = self._embed(codebase_id, tell)
+        tell("cleanup")
+        tell("fts")
         result.duration = round(1000 * (time.monotonic() - began))
         return result
 
+    def _embed(self, codebase_id: int, tell: Progress) -> int:
+        """Embed a codebase's chunks that have no vector of this model, and commit them round by round."""
+        own = self.store.read("chunks", codebase_id)
+        text = embed_text(*map(F.col, ("file_path", "kind", "name", "signature", "snippet")))
+        total = catalogue.stale(own, self.model).count()
+        rounds, done = -(-total // EMBED_ROUND), 0
+        if not rounds:
+            tell("embed", 0, 0)
+        for k in range(rounds):
+            mine = catalogue.stale(own, self.model).where(F.pmod(F.xxhash64("chunk_key"), F.lit(rounds)) == k)
+            vectors = cut(mine.select("chunk_key", embed.embedding(self.embedder, text).alias("embedding"), F.lit(self.model).alias("embedding_model")))
+            self.store.commit(parts={"chunks": {codebase_id: maintenance.write_embeddings(own, vectors)}})
+            done += vectors.count()
+            tell("embed", done, total)
+            own = self.store.read("chunks", codebase_id)
+        return done
+
     def remove_codebase(self, directory: str) -> None:
         """Drop all that is stored of a codebase but its own row."""
         root = os.path.abspath(directory)

@@ -469,7 +469,7 @@ def W9_build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 def W4_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}".removeprefix("file:")
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select(*events.columns)
     latest = LatestTable(f"{folder}/table", ("user_id",), "event_id")

@@ -1,7 +1,8 @@
 """The stored tables as versioned Parquet: a commit writes new folders and then swaps one pointer file.
 
 Readers see the version that the pointer names; a failed commit leaves it where it was. The pointer is written beside and renamed, which
-is atomic on local disks and HDFS; the folder must be shared by all executors. Chunks and postings are partitioned by
+is atomic on local disks and HDFS. A path with a scheme (hdfs://, s3a://) is used as it is, one without is a local folder, which must be
+shared by all executors. Chunks and postings are partitioned by
 codebase, so a commit writes the partitions of the codebases that it touches and takes the others over by name.
 """
 
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from corvane import schemas
+from corvane.files import Folder
 
 TABLES: dict[str, StructType] = {"codebases": schemas.CODEBASES, "chunks": schemas.CHUNKS, "indexed_files": schemas.INDEXED_FILES, "postings": schemas.POSTINGS, "field_stats": schemas.FIELD_STATS}
 #: Versions that stay on disk, so that a running query can end on the one that it began with.
@@ -27,19 +28,16 @@ class Store:
     """codebases is one folder; the other tables are one folder a codebase. `manifest` names them all."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, os.path.abspath(path)
-        os.makedirs(self.path, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+        self.path = self.folder.path.removeprefix("file:")
 
     @property
     def pointer(self) -> str:
-        return os.path.join(self.path, "_current")
+        return self.folder.of("_current").removeprefix("file:")
 
     def manifest(self) -> dict:
-        try:
-            with open(self.pointer) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"version": 0, "codebases": None, "parts": {t: {} for t in TABLES if t != "codebases"}}
+        found = self.folder.read("_current")
+        return json.loads(found) if found else {"version": 0, "codebases": None, "parts": {t: {} for t in TABLES if t != "codebases"}}
 
     def read(self, name: str, *codebase_ids: int) -> DataFrame:
         """A table of the current version, empty if there is none; with ids, only the folders of these codebases."""
@@ -50,11 +48,11 @@ class Store:
             folders = [f for c, f in m["parts"].get(name, {}).items() if not codebase_ids or int(c) in codebase_ids]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[os.path.join(self.path, f) for f in folders])
+        return self.spark.read.schema(TABLES[name]).parquet(*[self.folder.of(f) for f in folders])
 
     def _write(self, name: str, df: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
-        df.select(*TABLES[name].names).write.parquet(os.path.join(self.path, folder))
+        df.select(*TABLES[name].names).write.parquet(self.folder.of(folder))
         return folder
 
     def commit(self, codebases: DataFrame | None = None, parts: dict[str, dict[int, DataFrame | None]] | None = None) -> None:
@@ -74,14 +72,11 @@ class Store:
                         m["parts"][name][str(codebase_id)] = folder
         except BaseException:
             for folder in new:
-                shutil.rmtree(os.path.join(self.path, folder), ignore_errors=True)
+                self.folder.delete(folder)
             raise
         m["version"] += 1
         m["history"] = [*m.get("history", []), sorted(self._folders(m))][-KEPT_VERSIONS:]
-        beside = f"{self.pointer}.{uuid.uuid4().hex}"
-        with open(beside, "w") as f:
-            json.dump(m, f)
-        os.replace(beside, self.pointer)
+        self.folder.replace("_current", json.dumps(m))
         self._clean(m)
 
     def _folders(self, m: dict) -> set[str]:
@@ -90,13 +85,13 @@ class Store:
     def _clean(self, m: dict) -> None:
         """Folders that no kept version names."""
         named = {f for v in m["history"] for f in v}
-        for entry in os.scandir(self.path):
-            if entry.is_dir() and entry.name not in named and entry.name.split("-")[0] in TABLES:
-                shutil.rmtree(entry.path, ignore_errors=True)
+        for name in self.folder.folders():
+            if name not in named and name.split("-")[0] in TABLES:
+                self.folder.delete(name)
 
     def size(self) -> int:
         """Bytes on disk of the current version."""
-        return sum(os.path.getsize(os.path.join(d, f)) for folder in self._folders(self.manifest()) for d, _, fs in os.walk(os.path.join(self.path, folder)) for f in fs)
+        return sum(map(self.folder.size, self._folders(self.manifest())))
 
 
 def now_ms() -> int:

@@ -3,48 +3,67 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corvane.files import Folder
 from corvane.operators.maintenance import last_wins
 
+#: Buckets of a new table, by a hash of the key.
+BUCKETS = 64
+_BUCKET = "__bucket"
+
 
 class LatestTable:
-    """Rows by key, the one with the highest `order` each; a batch that is delivered twice changes nothing."""
+    """Rows by key, the one with the highest `order` each; a batch that is delivered twice changes nothing.
+
+    The table lies in buckets by a hash of the key. A batch reads and writes the buckets of its own keys only; a pointer file then names
+    their new folders and the batch in one step.
+    """
+
+    def __init__(self, path: str, keys: tuple[str, ...], order: str, buckets: int = BUCKETS):
+        self.path, self.keys, self.order, self.buckets = path, keys, order, buckets
+
+    def _current(self, folder: Folder) -> dict:
+        found = folder.read("_current")
+        return json.loads(found) if found else {"batch": -1, "count": self.buckets, "buckets": {}}
 
-    def __init__(self, path: str, keys: tuple[str, ...], order: str):
-        self.path, self.keys, self.order = path, keys, order
-        os.makedirs(path, exist_ok=True)
+    def _bucket(self, count: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(count)).cast("int")
 
-    def _current(self) -> tuple[str | None, int]:
-        try:
-            with open(os.path.join(self.path, "_current")) as f:
-                m = json.load(f)
-            return m["folder"], m["batch"]
-        except FileNotFoundError:
-            return None, -1
+    def _rows(self, spark: SparkSession, folder: Folder, like: DataFrame, names: list[str]) -> DataFrame:
+        if not names:
+            return spark.createDataFrame([], like.schema)
+        return spark.read.schema(like.schema).parquet(*[folder.of(n) for n in names])
 
     def read(self, like: DataFrame) -> DataFrame:
-        folder, _ = self._current()
-        return like.sparkSession.read.schema(like.schema).parquet(os.path.join(self.path, folder)) if folder else like.sparkSession.createDataFrame([], like.schema)
+        folder = Folder(like.sparkSession, self.path)
+        return self._rows(like.sparkSession, folder, like, sorted(self._current(folder)["buckets"].values()))
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        folder, done = self._current()
-        if batch_id <= done:
+        spark = batch.sparkSession
+        folder = Folder(spark, self.path)
+        now = self._current(folder)
+        if batch_id <= now["batch"]:
             return
-        new = f"v-{uuid.uuid4().hex}"
-        rows = last_wins(self.read(batch).unionByName(batch), self.keys, self.order)
-        rows.write.parquet(os.path.join(self.path, new))
-        beside = os.path.join(self.path, f"_{uuid.uuid4().hex}")
-        with open(beside, "w") as f:
-            json.dump({"folder": new, "batch": batch_id}, f)
-        os.replace(beside, os.path.join(self.path, "_current"))
-        if folder:
-            shutil.rmtree(os.path.join(self.path, folder), ignore_errors=True)
+        bucket = self._bucket(now["count"])
+        touched = sorted(str(r[0]) for r in batch.select(bucket).distinct().collect())  # at most so many as there are buckets
+        old = [now["buckets"][b] for b in touched if b in now["buckets"]]
+        if touched:
+            new = f"v-{uuid.uuid4().hex}"
+            rows = last_wins(self._rows(spark, folder, batch, old).unionByName(batch), self.keys, self.order)
+            rows.withColumn(_BUCKET, bucket).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(folder.of(new))
+            now["buckets"] |= {b: f"{new}/{_BUCKET}={b}" for b in touched}
+        folder.replace("_current", json.dumps(now | {"batch": batch_id}))
+        for name in old:
+            folder.delete(name)
+        kept = {n.split("/")[0] for n in now["buckets"].values()}
+        for name in folder.folders():
+            if name.startswith("v-") and name not in kept:
+                folder.delete(name)
 
 
 def keep_latest(stream: DataFrame, table: LatestTable, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -191,3 +191,32 @@ def test_cli_and_server(spark, tmp_path):
     out = io.StringIO()
     s.serve(io.StringIO('{"id": 1, "method": "ping"}\nnot json\n{"method": "notifications/initialized"}\n{"id": 2, "method": "odd"}\n'), out)
     assert [("result" in m, m.get("error", {}).get("code")) for m in map(json.loads, out.getvalue().splitlines())] == [(True, None), (False, -32700), (False, -32601)]
+
+
+def test_embedding_goes_on_where_it_died(spark, tmp_path, monkeypatch):
+    """Rounds of a few chunks, of which one fails: those before are stored, and the next run embeds only the others."""
+    from corvane.plans import engine as module
+
+    monkeypatch.setattr(module, "EMBED_ROUND", 10)
+    root = tmp_path / "t"
+    shutil.copytree(TREE, root)
+    flag = tmp_path / "fail"
+
+    def embedder(texts):
+        if flag.exists() and any("Queue" in t for t in texts):
+            raise RuntimeError("no more")
+        return [[1.0, float(len(t))] for t in texts]
+
+    flag.touch()
+    e = Engine(spark, str(tmp_path / "db"), embedder, "m")
+    with pytest.raises(Exception, match="no more"):
+        e.index(str(root))
+    rows = e.store.read("chunks").collect()
+    stored = sum(r.embedding is not None for r in rows)
+    flag.unlink()
+    told = []
+    again = Engine(spark, str(tmp_path / "db"), embedder, "m").index(str(root), progress=lambda *x: told.append(x))
+    assert len(rows) > 10 and again.chunks == 0 and again.embedded == len(rows) - stored
+    assert all(r.embedding is not None for r in e.store.read("chunks").collect())
+    rounds = [x for x in told if x[0] == "embed"]
+    assert rounds[-1] == ("embed", again.embedded, again.embedded) and len(rounds) > 1
