@@ -143,13 +143,15 @@ class Counter(dict):
         return len(pieces), int(total.real), total.imag
 
 
+#: A worker process keeps its trie, which is bounded, for its next task.
+_COUNTERS: dict[tuple[str, str], Counter] = {}
 COUNTS = StructType([StructField("n_pretokens", LongType()), StructField("n_tokens", LongType()), StructField("log_prob", DoubleType())])
 
 
 def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_pretokens, n_tokens and log_prob of the best unigram segmentation of its whole text.
 
-    `path` is a vocabulary of ranks, from which the piece scores follow by Zipf's law. Each task keeps its own trie, so there is no
+    `path` is a vocabulary of ranks, from which the piece scores follow by Zipf's law. Each worker keeps its own trie, so there is no
     shuffle. Null and empty texts count nothing; null and repeated ids are rows of their own; other columns are ignored.
     """
 
@@ -157,12 +159,11 @@ def count(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 
     @F.pandas_udf(COUNTS)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = Counter(path, pattern)
+        if (path, pattern) not in _COUNTERS:
+            _COUNTERS[path, pattern] = Counter(path, pattern)
+        c = _COUNTERS[path, pattern]
         for s in texts:
             yield pd.DataFrame([c.of(t) for t in s], columns=COUNTS.names, index=s.index)
-        # a worker process lives on and shares the executor's memory
-        c.clear()
-        c.trie.__dict__.clear()
         give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("x")).select("doc_id", "x.*")
