@@ -44,7 +44,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile(r"(?<![^\W_])[^\W_]{3,}")
 _ANY_WORD = re.compile(r"[^\W_]{3,}")
-_OPAQUE = re.compile(r"(?<![^\W_])(?=[^\W\d_]*\d)(?=\d*[^\W\d_])[^\W_]{16,}+")
+_DIGITS, _ALNUM = re.compile(r"\d+"), re.compile(r"[^\W_]*+")
 _CHANGE = re.compile(r"(?<=\d)[^\W\d_]|(?<=[^\W\d_])\d")
 #: Bands of min-hashes that mark texts as copies of each other, and min-hashes of a band: of texts that share 85 % of their sequences
 #: of four words 94 % agree in a band, of those that share 20 % 2 %.
@@ -112,7 +112,17 @@ def _signed(s: str) -> int:
 
 def opaque(text: str) -> list[tuple[int, int, int]]:
     """(word, start, end) of strings of 16 letters and digits or more that change between the two at least twice."""
-    return [(_signed(m[0].lower()), m.start(), m.end()) for m in _OPAQUE.finditer(text) if len(_CHANGE.findall(m[0])) >= 2]
+    out, after = [], 0
+    for m in _DIGITS.finditer(text):  # few words hold a digit, so only these are looked at
+        start = m.start()
+        if start < after:
+            continue
+        while start > after and text[start - 1].isalnum():
+            start -= 1
+        after = _ALNUM.match(text, start).end()
+        if after - start >= 16 and len(_CHANGE.findall(word := text[start:after])) >= 2:
+            out.append((_signed(word.lower()), start, after))
+    return out
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
