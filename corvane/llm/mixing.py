@@ -31,7 +31,7 @@ BLOCK_DOCS = 32
 #: Slots of a frame, and slots for each source in it, at least.
 FRAME, SLOTS_A_SOURCE = 1 << 16, 64
 #: Rows of a source that one task ranks, on average at most.
-PIECE_ROWS = 50_000
+PIECE_ROWS = 4096
 #: Bytes up to which a table that is joined is broadcast; its rows are counted before.
 BROADCAST_BYTES = 8 << 20
 _BITS = 60
