@@ -225,7 +225,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     workers_can_import(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed)).alias("h"), *[F.expr(k) for k in keep])
     rest = [c for c in own.columns if c not in ("doc_id", "source", "h")]
-    counts = sorted(((r.source, r["count"]) for r in own.groupBy("source").count().collect()), key=lambda r: (r[0] is None, str(r[0])))
+    counts = sorted(((r["s"], r["count"]) for r in own.groupBy(F.col("source").cast("string").alias("s")).count().collect()), key=lambda r: (r[0] is None, str(r[0])))
     if not counts:
         kinds = (("block", "long"), ("phase", "int"), ("slot", "long"), ("place", "int"), ("position", "long"))
         return own.select("doc_id", "source", *[F.lit(0).cast(t).alias(n) for n, t in kinds], *rest)

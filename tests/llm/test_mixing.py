@@ -135,3 +135,10 @@ def test_files_in_turn_are_the_mix(spark, tmp_path):
     mixing.mixed(docs, block_docs=4).write.parquet(f"{tmp_path}/mixed")
     got = [i for f in sorted(tmp_path.glob("mixed/part-*")) for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
     assert got == [r.doc_id for r in sorted(mixing.mix(docs, block_docs=4).collect(), key=lambda r: r.position)]
+
+
+def test_sources_that_are_numbers(spark):
+    df = spark.range(100).selectExpr("id as doc_id", "'t' as text", "id % 3 as source")
+    got = mixing.mix(df, {"0": 1.0, "1": 2.0}, block_docs=2)
+    check(got.collect(), 100, 2)
+    assert got.schema["source"].dataType == df.schema["source"].dataType
