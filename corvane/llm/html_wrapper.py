@@ -395,7 +395,8 @@ def place(path: tuple[str, ...]) -> int:
 def choose(wrapper: list) -> list[int]:
     """For each slot of a wrapper, in order: 1 main text in an article, 2 main text of pages without one, 0 not main text.
 
-    The template's are slots with one text on LEAST different pages or more, while others of the kind vary as much; headings of an article are its own.
+    The template's are slots with one text on LEAST different pages or more, while others of the kind vary as much; headings of an article are its own,
+    and so is what makes up half of the articles' text or more.
     A slot outside of articles that is links for the most part is a menu. A container that only words exclude stays if it has half of the text or more.
     """
     own = list(slots(wrapper))
@@ -421,8 +422,12 @@ def choose(wrapper: list) -> list[int]:
     for kind, members in groups.items():
         varied = any(len(own[n][1][4][2]) >= LEAST for n in members)
         fixed = lambda n: len(own[n][1][4][3]) >= LEAST and len(own[n][1][4][2]) == 1 and not (kind == 1 and own[n][0] and _tag(own[n][0][-1][0]) in _HEADINGS)
-        members = [n for n in members if not (varied and fixed(n))]
-        total = sum(own[n][1][4][0] for n in members)
+        still = {n for n in members if varied and fixed(n)}
+        chars = lambda some: sum(own[n][1][4][0] for n in some)
+        if kind == 1 and 2 * chars(still) >= chars(members):  # a story that many pages tell under other titles is no template
+            still = set()
+        members = [n for n in members if n not in still]
+        total = chars(members)
         held: dict[tuple, int] = {}
         for n in members:
             if n in tied:
