@@ -36,7 +36,8 @@ def scores_by_rank(ranks: dict[bytes, int]) -> dict[bytes, float]:
 class ForwardTrie:
     """Pre-tokens with the forward scores of their prefixes.
 
-    A node is [score, tokens, children or None]: of the best segmentation of its prefix (the higher score; of equal scores the fewer tokens).
+    A node is a number; `children` has the node behind a node and a byte, `score` and `tokens` are those of the best segmentation of its
+    prefix (the higher score; of equal scores the fewer tokens).
     """
 
     def __init__(self, scores: dict[bytes, float]):
@@ -45,49 +46,67 @@ class ForwardTrie:
             self.pieces.add_word(piece.decode("latin-1"), (len(piece) - 1, s))
         self.pieces.make_automaton()
         self.longest = max(map(len, scores))
-        self.root: list = [0.0, 0, None]
-        self.nodes = 0
         self.computed = 0
+        self._cut()
+
+    def _cut(self) -> None:
+        self.children: dict[int, int] = {}
+        self.score, self.tokens = [0.0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.score) - 1
 
     def count(self, word: bytes) -> tuple[int, float]:
         """Tokens and score of the best segmentation."""
-        if self.nodes > MOST_NODES:
-            self.root, self.nodes = [0.0, 0, None], 0
+        if len(self.score) > MOST_NODES:
+            self._cut()
         path = self._path(word[:STORED])
-        return self._beyond(word, path) if len(word) > STORED else (path[-1][1], path[-1][0])
+        return self._beyond(word, path) if len(word) > STORED else (self.tokens[path[-1]], self.score[path[-1]])
 
-    def _path(self, word: bytes) -> list:
+    def _path(self, word: bytes) -> list[int]:
         """The nodes of a word from the root."""
-        node, path = self.root, [self.root]
+        children, score, tokens = self.children, self.score, self.tokens
+        node, path = 0, [0]
         for b in word:
-            node = node[2].get(b) if node[2] else None
-            if node is None:
+            node = children.get(node << 8 | b, 0)
+            if not node:
                 break
             path.append(node)
         shared = at = len(path) - 1
         if shared < len(word):
             best, fewest = -math.inf, 0
+
+            def grow() -> None:
+                if at != len(path) - 1 or best == -math.inf:
+                    raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
+                children[path[at] << 8 | word[at]] = len(score)
+                path.append(len(score))
+                score.append(best)
+                tokens.append(fewest)
+
             for end, (back, s) in self.pieces.iter(word.decode("latin-1")):
                 if end < shared:
                     continue
                 if end > at:
-                    self._grow(path, word, at, best, fewest)
+                    grow()
                     at, best = end, -math.inf
                 before = path[end - back]
-                s += before[0]
-                if s > best or (s == best and before[1] + 1 < fewest):
-                    best, fewest = s, before[1] + 1
-            self._grow(path, word, at, best, fewest)
+                s += score[before]
+                if s > best or (s == best and tokens[before] + 1 < fewest):
+                    best, fewest = s, tokens[before] + 1
+            grow()
+            self.computed += len(path) - 1 - shared
             if len(path) <= len(word):
                 raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
         return path
 
-    def _beyond(self, word: bytes, path: list) -> tuple[int, float]:
+    def _beyond(self, word: bytes, path: list[int]) -> tuple[int, float]:
         """What count() gives, from the nodes of the first bytes on, with a ring of the last scores."""
         size = self.longest + 1
         score, tokens = [-math.inf] * size, [0] * size
         for k in range(max(0, STORED + 1 - size), STORED + 1):
-            score[k % size], tokens[k % size] = path[k][0], path[k][1]
+            score[k % size], tokens[k % size] = self.score[path[k]], self.tokens[path[k]]
         skip = max(0, STORED - self.longest)
         done, best, fewest = STORED, -math.inf, 0
         for end, (back, s) in self.pieces.iter(word[skip:].decode("latin-1")):
@@ -107,37 +126,29 @@ class ForwardTrie:
             raise ValueError(f"no piece ends at byte {word[done]}")
         return fewest, best
 
-    def _grow(self, path: list, word: bytes, at: int, score: float, tokens: int) -> None:
-        if at != len(path) - 1 or score == -math.inf:
-            raise ValueError(f"no piece ends at byte {word[len(path) - 1]}")
-        node = [score, tokens, None]
-        parent = path[at]
-        if parent[2] is None:
-            parent[2] = {word[at]: node}
-        else:
-            parent[2][word[at]] = node
-        path.append(node)
-        self.nodes += 1
-        self.computed += 1
-
 
 class Counter(dict):
     """Pre-token to its terminal count and score, as one complex number so that a text's are summed in one go."""
 
-    MOST = 300_000
+    #: A full young generation becomes the old one, from which what is met again comes back; so frequent pre-tokens stay.
+    MOST = 200_000
 
     def __init__(self, path: str, pattern: str):
         self.trie, self.split = ForwardTrie(scores_by_rank(read_ranks(path))), regex.compile(pattern).findall
+        self.older: dict[str, complex] = {}
 
     def __missing__(self, piece: str) -> complex:
-        found = complex(*self.trie.count(piece.encode()))
-        if len(self) < self.MOST and len(piece) <= STORED:
+        found = self.older.get(piece)
+        if found is None:
+            found = complex(*self.trie.count(piece.encode()))
+        if len(piece) <= STORED:
+            if len(self) >= self.MOST:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 
     def of(self, text: str | None) -> tuple[int, int, float]:
-        if len(self) >= self.MOST:
-            self.clear()
         pieces = self.split(text or "")
         total = sum(map(self.__getitem__, pieces), 0j)
         return len(pieces), int(total.real), total.imag
