@@ -17,12 +17,12 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from corvane.llm.batches import slices
 from corvane.session import give_back, workers_can_import
 
 #: Distinct pre-tokens, and token pairs, that a worker remembers in a young and an old generation each: a full young one becomes the
@@ -208,30 +208,25 @@ class TextEncoder(dict):
         self.bpe.__dict__.clear()
 
 
+_KEPT: dict[tuple, TextEncoder] = {}
+
+
 @contextmanager
-def encoder(*which) -> Iterator[TextEncoder]:
-    """One a task. At its end what it remembers goes, as the worker process lives on and shares the executor's memory."""
-    e = TextEncoder(*which)
+def encoder(*which, keep: bool = False) -> Iterator[TextEncoder]:
+    """An encoder for a task. What it remembers goes at the task's end, or is kept for the worker process's next one."""
+    e = _KEPT.get(which) or TextEncoder(*which)
     try:
         yield e
     finally:
-        e.forget()
-        del e
+        if keep:
+            _KEPT[which] = e
+        else:
+            _KEPT.pop(which, None)
+            e.forget()
+            del e
         give_back()
 
 
-def slices(texts: pa.Array, rows: int = 512, size: int = 4 << 20) -> Iterator[list[str | None]]:
-    """A batch's texts in turn, so that few of them, or one long one, stand in memory twice."""
-    lengths = pc.binary_length(texts) if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else pc.list_value_length(texts)
-    n = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = 0
-    while at < len(texts):
-        own = n[at : at + rows]
-        k = max(1, int(np.searchsorted(np.cumsum(own), size, side="right")))
-        yield texts.slice(at, min(k, len(own))).to_pylist()
-        at += min(k, len(own))
-
-
 def ids_of(e: TextEncoder, texts: pa.Array) -> pa.ListArray:
     parts, counts = [], []
     for own in slices(texts):
@@ -247,7 +242,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with encoder(path, pattern) as e:
+        with encoder(path, pattern, keep=True) as e:
             for s in texts:
                 yield ids_of(e, s)
 
@@ -304,7 +299,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     @F.arrow_udf(DIGEST)
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sha = hashlib.sha256
-        with encoder(path, pattern) as e:
+        with encoder(path, pattern, keep=True) as e:
             for s in texts:
                 n, ids_sha, decoded_sha = [], [], []
                 for own in slices(s):

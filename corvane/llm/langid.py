@@ -12,12 +12,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from corvane.llm.batches import slices
 from corvane.llm.joins import sized
 from corvane.session import give_back, workers_can_import
 
@@ -165,18 +165,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(n), pa.string()), "share": pa.array([min(1.0, most / c) for c in n.values()], pa.float64())}))
     chosen = known.join(sized(shares, 96), "lang").where(F.pmod("h", F.lit(1 << 32)) / float(1 << 32) < F.col("share")).drop("share")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
         for b in batches:
-            rows = []
-            for lang, h, text in zip(b["lang"], b["h"], b["text"]):
-                if has_letter(text):
-                    for part, t in enumerate([text, *pieces(text, h)]):
-                        c = trigram_counts(t)
-                        at = np.flatnonzero(c)
-                        rows.append((lang, h, part > 0, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "h", "short", "at", "n"])
-
-    got = sorted((r.short, r.lang, r.h, bytes(r.at), bytes(r.n)) for r in chosen.mapInPandas(count, "lang string, h long, short boolean, at binary, n binary").collect())
+            rows, own = [], zip(b.column("lang").to_pylist(), b.column("h").to_pylist())
+            for texts in slices(b.column("text")):
+                for text, (lang, h) in zip(texts, own):
+                    if has_letter(text):
+                        for part, t in enumerate([text, *pieces(text, h)]):
+                            c = trigram_counts(t)
+                            at = np.flatnonzero(c)
+                            rows.append((lang, h, part > 0, at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["lang", "h", "short", "at", "n"])
+
+    got = sorted((r.short, r.lang, r.h, bytes(r.at), bytes(r.n)) for r in chosen.mapInArrow(count, "lang string, h long, short boolean, at binary, n binary").collect())
     seen: dict[str, int] = {}
     labels, counts, parts = [], [], []
 
@@ -205,11 +207,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     workers_can_import(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(PREDICTION)
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(PREDICTION)
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for s in texts:
-            yield pd.DataFrame(dict(zip(PREDICTION.names, m.predict(list(s)))), index=s.index)
+            lang, score, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
+            for own in slices(s):
+                a, b, c = m.predict(own)
+                lang += a
+                score.append(b)
+                rejected.append(c)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rejected))], names=PREDICTION.names)
         give_back()
 
     return of(F.col(text_col))

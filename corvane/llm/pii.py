@@ -22,13 +22,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corvane.llm.batches import slices
 from corvane.llm.components import connected_components
 from corvane.llm.joins import sized
 from corvane.session import cut, give_back, workers_can_import
@@ -51,7 +51,7 @@ _CHANGE = re.compile(r"(?<=\d)[^\W\d_]|(?<=[^\W\d_])\d")
 BANDS, BAND = 3, 3
 _SEQUENCE = 4
 #: Distinct words that a task counts before it sends the counts on.
-_COUNTED = 200_000
+_COUNTED = 100_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", k) | 1 for k in range(BANDS * BAND)], np.uint64)
 
 
@@ -174,17 +174,19 @@ SCANNED = "doc_id long, h long, base array<struct<start:int,kind:int,end:int>>,
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, h, text, copies) to a row a document, and rows (word, copies, docs): in how many documents of this task with so many copies a word stands."""
-    count: dict[tuple[int, str], int] = {}
+    counts: dict[int, dict[str, int]] = {}  # by number of copies
 
     def counted() -> pa.RecordBatch:
-        n = len(count)
+        n = sum(map(len, counts.values()))
         null = [pa.nulls(n, t) for t in _SCANNED.types[:7]]
-        return pa.RecordBatch.from_arrays([*null, pa.array(np.fromiter((_signed(w) for _, w in count), np.int64, n)), pa.array(np.fromiter((k for k, _ in count), np.int64, n)), pa.array(np.fromiter(count.values(), np.int64, n))], schema=_SCANNED)
+        columns = [np.fromiter(x, np.int64, n) for x in ((_signed(w) for own in counts.values() for w in own), (k for k, own in counts.items() for _ in own), (c for own in counts.values() for c in own.values()))]
+        return pa.RecordBatch.from_arrays([*null, *map(pa.array, columns)], schema=_SCANNED)
 
     for batch in batches:
         base, strings, values, words, marks = [], [], [], [], []
-        for at in range(0, batch.num_rows, 512):  # few texts stand in memory twice
-            for text, k in zip(batch.column("text").slice(at, 512).to_pylist(), batch.column("copies").slice(at, 512).to_pylist()):
+        copies = iter(batch.column("copies").to_pylist())
+        for own in slices(batch.column("text")):
+            for text, k in zip(own, copies):
                 text = text or ""
                 spans = base_spans(text)
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
@@ -192,16 +194,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 values.append(list({_value(kind, text[a:b]) for a, kind, b in spans}))
                 words.append(list(candidates(text, spans)) if spans else [])
                 marks.append(bands(text) if spans else [])
+                count = counts.setdefault(k, {})
                 for w in set(_ANY_WORD.findall(text.lower())):
-                    count[k, w] = count.get((k, w), 0) + 1
+                    count[w] = count.get(w, 0) + 1
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *[pa.array(x, t) for x, t in zip((base, strings, values, words, marks), _SCANNED.types[2:7])], *[pa.nulls(n, pa.int64())] * 3], schema=_SCANNED)
-        if len(count) >= _COUNTED:
+        if sum(map(len, counts.values())) >= _COUNTED:
             yield counted()
-            count.clear()
-    if count:
+            counts.clear()
+    if counts:
         yield counted()
-    count.clear()
+    counts.clear()
     give_back()
 
 
@@ -294,19 +297,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **meth
     """
     found, terms, common = learn(docs, id_col, text_col, **method)
 
-    @F.pandas_udf(_ADDED)
-    def added(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_ADDED)
+    def added(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, told in batches:
-            yield pd.Series([[x[:3] for x in term_spans(t or "", w, common)] for t, w in zip(texts, told)], index=texts.index, dtype=object)
+            told = iter(told.to_pylist())
+            yield pa.array([[dict(zip(("start", "kind", "end"), x)) for x in term_spans(t or "", w, common)] for own in slices(texts) for t, w in zip(own, told)], _SPANS)
 
     # texts with disclosed words are looked at again; opaque strings have their places already
     told = with_terms(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", terms).where("__terms is not null")
     again = cut(told.select(F.xxhash64("text").alias("__h"), added("text", "__terms").alias("added")).dropDuplicates(["__h"])) if not terms.isEmpty() else None
 
-    @F.pandas_udf(_ADDED)
-    def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(_ADDED)
+    def strings(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series([[(x["start"], KINDS.index("term"), x["end"]) for x in own if x["word"] not in common] for own in s], index=s.index, dtype=object)
+            yield pa.array([[{"start": x["start"], "kind": KINDS.index("term"), "end": x["end"]} for x in own if x["word"] not in common] for own in s.to_pylist()], _SPANS)
 
     rows = found.select("doc_id", "h", "base", "opaque")
     alone = strings("opaque") if common else F.transform("opaque", lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), x["end"].alias("end")))
@@ -337,10 +341,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     _, terms, common = learn(docs, id_col, text_col, **method)
 
-    @F.pandas_udf(StringType())
-    def of(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, told in texts:
-            yield pd.Series([None if x is None else redact(x, [dict(zip(("start", "kind", "end", "remove"), y)) for y in term_spans(x, w, common)]) for x, w in zip(t, told)], index=t.index, dtype=object)
+    @F.arrow_udf(StringType())
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, told in batches:
+            parts, told = [], iter(told.to_pylist())
+            for own in slices(texts):
+                parts.append(pa.array([None if x is None else redact(x, [dict(zip(("start", "kind", "end", "remove"), y)) for y in term_spans(x, w, common)]) for x, w in zip(own, told)], pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
         give_back()
 
     out = with_terms(docs, text_col, terms).withColumn(text_col, of(F.col(text_col), F.col("__terms")))

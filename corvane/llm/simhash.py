@@ -13,12 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corvane.llm.batches import slices
 from corvane.llm.components import FOLDED, connected_components, fold_links
 from corvane.llm.joins import sized
 from corvane.session import cut, give_back, workers_can_import
@@ -52,10 +53,10 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits((2 * counts > n).ravel(), bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf(LongType())
-def simhash64(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(LongType())
+def simhash64(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for s in texts:
-        yield pd.Series(np.fromiter((fingerprint(t) for t in s), np.uint64, len(s)).view(np.int64), index=s.index)
+        yield pa.array(np.fromiter((fingerprint(t) for own in slices(s) for t in own), np.uint64, len(s)).view(np.int64))
     give_back()
 
 
