@@ -30,6 +30,8 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _BYTE = np.arange(8, dtype=np.int64) * 256
 #: Fingerprints that share a variant and still meet in one place; more are cut into blocks, and every two blocks meet.
 HOT = 4096
+#: Bytes that an id and a text hash take in a broadcast's hash table, besides the id's own.
+KEY_BYTES = 112
 #: Shingles of which the hashes are held at once.
 _CHUNK = 1 << 20
 
@@ -169,7 +171,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select("__i", "__h")
-        keys = sized(keys, 64)  # as it takes that much in a hash table
+        # in a hash table a row takes KEY_BYTES and, in its key and again in its value, the id's bytes
+        keys = sized(keys, F.lit(KEY_BYTES) + 2 * F.coalesce(F.octet_length(F.col("__i").cast("string")), F.lit(0)))
         return rows.join(keys, rows[id_col].eqNullSafe(keys["__i"]) & (F.xxhash64(rows[text_col]) == keys["__h"]), how)
 
     out = among(docs, held.where("not stays"), "left_anti")
