@@ -105,10 +105,13 @@ def hot_variants(fingerprints: DataFrame) -> DataFrame:
 
 
 def _meet(left: DataFrame, right: DataFrame, on: tuple[str, ...], once: Column) -> DataFrame:
-    """Linked pairs (a, b, n_a, n_b) of rows that are equal in `on`, under the first variant that they share."""
+    """Linked pairs (a, b, n_a, n_b) of rows that are equal in `on`, under the first variant that they share.
+
+    Merged by a hint: Spark takes exploded rows to be as few as those before, and would broadcast 64 variants of each fingerprint.
+    """
     a, b = left.select(*on, F.col("fp").alias("a"), F.col("n").alias("n_a")), right.select(*on, F.col("fp").alias("b"), F.col("n").alias("n_b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    return a.join(b, list(on)).where(once & (F.bit_count(x) <= MOST_BITS) & first_shared(F.col("key"), x)).select("a", "b", "n_a", "n_b")
+    return a.join(b.hint("merge"), list(on)).where(once & (F.bit_count(x) <= MOST_BITS) & first_shared(F.col("key"), x)).select("a", "b", "n_a", "n_b")
 
 
 def link(fingerprints: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corvane.llm import components, joins, simhash
 from corvane.llm.components import connected_components, spanning_forest
@@ -156,3 +157,13 @@ def test_long_ids_count_when_the_dropped_documents_are_broadcast(spark, monkeypa
     large = drop_near_duplicates(df)
     assert joins_of(large) == ["SortMergeJoin"]
     assert sorted(large.collect()) == sorted(small.collect()) == sorted((make(3 * i), t) for i, t in enumerate(texts))
+
+
+def test_variants_are_never_broadcast(spark):
+    """However small Spark takes them to be: by AQE, fingerprints just under the threshold would be broadcast 64 times over."""
+    few = spark.createDataFrame([(x, 1) for x in range(5)], "fp long, n long").repartition(2, "fp")
+    v = few.select(F.explode(simhash.variants(F.col("fp"))).alias("key"), "fp", "n")
+    for left, on in ((v, ("key",)), (v.withColumn("x", F.lit(0)), ("key", "x"))):
+        met = simhash._meet(left, left, on, F.col("a") < F.col("b"))
+        assert {(r.a, r.b) for r in met.collect()} == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
