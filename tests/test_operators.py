@@ -165,6 +165,22 @@ def test_a_stored_query_reads_only_its_terms(spark, tmp_path):
     assert [(r.chunk_key, round(r.score, 6)) for r in found.orderBy("rank").collect()] == [(r.chunk_key, round(r.score, 6)) for r in want]
 
 
+def test_bulk_nearest_in_strips(spark, monkeypatch):
+    """A strip of a cell's queries is scored at a time, with the same result, ties included."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 3 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    unit = np.array([x for _, x in rows])
+    length = np.sqrt((unit * unit).sum(1))
+    with np.errstate(invalid="ignore"):
+        s = np.round(np.nan_to_num(unit @ unit.T / np.outer(length, length)), 9)
+    want = {(i, j, r + 1) for i in range(0, 60, 3) for r, j in enumerate(sorted(set(range(60)) - {i}, key=lambda j: (-s[i, j], j))[:4])}
+    for strip in (1, 7, 128):
+        monkeypatch.setattr(search, "STRIP", strip)
+        assert {(r.query_id, r.vec_id, r.rank) for r in search.vector_topk_bulk(q, v, 4, other_than_itself=True).collect()} == want
+
+
 def test_postings_are_counted_where_the_rows_are(spark):
     """No row of a term is shuffled; only rows that share a key are, and add up by length."""
     rows = [(i % 2, f"k{i}", None if i == 3 else f"one two{i % 3}", "b a b " * (i % 4)) for i in range(12)]
