@@ -7,34 +7,40 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.text import query_terms
 from corvane.schemas import VECTOR
+from corvane.session import give_back
 
 Embedder = Callable[[list[str]], list[list[float]]]
 #: Texts given to an embedder at once.
 BATCH = 64
 DIM = 384
 HASHING_MODEL = "hashing-384"
+#: Words of a text that are hashed at once; letters of a word that is remembered.
+WORDS, LONGEST = 4096, 64
 
 
-@lru_cache(100_000)
-def _places(term: str) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(term: str) -> tuple[np.ndarray, np.ndarray]:
     """Components and signed weights of a term: its own and those of its trigrams."""
     grams = [term, *(f"^{term}$"[k : k + 3] for k in range(len(term)))]
     h = np.array([zlib.crc32(g.encode()) for g in grams], np.int64)
     return h % DIM, np.where(h >> 31, 1.0, -1.0) * np.array([2.0] + [0.5] * (len(grams) - 1))
 
 
+_remembered = lru_cache(100_000)(_hashed)
+
+
 def hashing_embedder(texts: list[str]) -> list[list[float]]:
     """Signed feature hashing of words and their character trigrams, of unit length; the same on every worker and in every run."""
     out = np.zeros((len(texts), DIM))
     for i, text in enumerate(texts):
-        found = [_places(t) for t in query_terms(text)]
-        if found:
+        words = query_terms(text)
+        for k in range(0, len(words), WORDS):
+            found = [(_remembered if len(t) <= LONGEST else _hashed)(t) for t in words[k : k + WORDS]]
             np.add.at(out[i], np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found]))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).tolist()
@@ -67,11 +73,15 @@ def onnx_embedder(model: str, tokenizer: str, longest: int = 256) -> Embedder:
 def embedding(embedder: Embedder, text: Column) -> Column:
     """Vectors of a text column, in batches, where the rows are."""
 
-    @F.pandas_udf(VECTOR)
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(VECTOR)
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in texts:
-            own = s.fillna("").to_list()
-            vectors = [v for i in range(0, len(own), BATCH) for v in embedder(own[i : i + BATCH])]
-            yield pd.Series([np.asarray(v, np.float32) for v in vectors], index=s.index, dtype=object)
+            parts = [pa.array([], pa.list_(pa.float32()))]
+            for i in range(0, len(s), BATCH):
+                # an embedder's lists take eight times the vectors: only one call's are held
+                own = [np.asarray(v, np.float32) for v in embedder([t or "" for t in s.slice(i, BATCH).to_pylist()])]
+                parts.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own))))
+            yield pa.concat_arrays(parts)
+        give_back()
 
     return of(text)

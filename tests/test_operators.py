@@ -195,3 +195,25 @@ def test_postings_are_counted_where_the_rows_are(spark):
                 want.update((r.codebase_id, r.chunk_key, f, x, len(t)) for x in t)
         got = search.postings(table).collect()
         assert {(r.codebase_id, r.chunk_key, r.field, r.term, r.dl): r.tf for r in got} == want and len(got) == len(want)
+
+
+def test_an_embedders_lists_are_let_go(monkeypatch):
+    """Of a batch only one call's lists are held: as Python numbers they take eight times their vectors."""
+
+    class Vector(list):
+        __hash__, __eq__ = object.__hash__, object.__eq__
+
+    alive, most, made = weakref.WeakSet(), [], []
+
+    def embedder(texts):
+        most.append(len(alive))
+        out = [Vector([float(len(t)), float(k)]) for k, t in enumerate(texts)]
+        alive.update(out)
+        return out
+
+    monkeypatch.setattr(embed.F, "arrow_udf", lambda kind: lambda f: lambda text: made.append(f))
+    embed.embedding(embedder, None)
+    texts = [None if i % 7 == 0 else "x" * (i % 7) for i in range(1000)]
+    (out,) = made[0](iter([pa.array(texts)]))
+    assert out.to_pylist() == [[float(len(t or "")), float(i % embed.BATCH)] for i, t in enumerate(texts)]
+    assert max(most) <= 2 * embed.BATCH
